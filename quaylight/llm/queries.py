@@ -30,3 +30,12 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     from quaylight.llm.packing import pack_texts
 
     return pack_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@_query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of which one is among the other's three most similar: tbl, id_a, id_b."""
+    from quaylight.llm.neighbours import nearest, neighbour_pairs
+
+    both = [neighbour_pairs(nearest(table(spark, d, t), k, "embedding")).select(F.lit(t).alias("tbl"), "id_a", "id_b") for t, k in (("chunks", "chunk_id"), ("delivered", "msg_id"))]
+    return both[0].unionByName(both[1])
