@@ -1,8 +1,9 @@
 """The k most similar vectors of every vector, by learned partitions.
 
 Fitting, on the driver, from a bounded sample (``fit_rows``): a neighbour graph of the
-sample is cut into balanced parts, and a small network learns to tell the parts in
-which a vector's neighbours lie.  Every row is then indexed in its most probable part, and
+sample is cut into balanced parts, and a small network learns to tell a vector's part from
+the vector moved about by as much as neighbours differ, so its probabilities say in which
+parts neighbours may lie.  Every row is then indexed in its most probable part, and
 searched for in the fewest parts whose probabilities reach ``coverage``.
 
 A part is cut into blocks by a hash of the vector, so a part of any size is spread over
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 PART_ROWS = 4096
 BLOCK_ROWS = 8192
 MAX_PARTS = 1024
-COVERAGE = 0.98
+COVERAGE = 0.75
 HIDDEN = 96
+#: Length of the noise added to a unit vector in training: where its neighbours may lie.
+NOISE = 0.3
 _TILE = 1 << 22
 
 
@@ -123,24 +126,28 @@ class Router:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def fit(self, x: np.ndarray, target: np.ndarray, rng: np.random.Generator, epochs: int = 40, batch: int = 256, rate: float = 0.004) -> "Router":
-        """Adam on the cross entropy with soft targets."""
+    def fit(self, x: np.ndarray, label: np.ndarray, rng: np.random.Generator, epochs: int = 40, batch: int = 256, rate: float = 0.004) -> "Router":
+        """Adam on the cross entropy of the parts of moved vectors."""
         names = ("w1", "b1", "w2", "b2")
         m, v, t = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
         steps = epochs * math.ceil(len(x) / batch)
+        scale = NOISE / math.sqrt(x.shape[1])
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for lo in range(0, len(x), batch):
                 i = order[lo : lo + batch]
-                a = np.maximum(x[i] @ self.w1 + self.b1, 0)
+                y = x[i] + scale * rng.standard_normal((len(i), x.shape[1]), dtype=np.float32)
+                y /= np.linalg.norm(y, axis=1, keepdims=True)
+                a = np.maximum(y @ self.w1 + self.b1, 0)
                 z = a @ self.w2 + self.b2
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                g = (p - target[i]) / len(i)
+                p[np.arange(len(i)), label[i]] -= 1
+                g = p / len(i)
                 h = (g @ self.w2.T) * (a > 0)
                 t += 1
                 lr = rate * (1 - 0.9 * t / steps)
-                for k, d in zip(names, (x[i].T @ h, h.sum(0), a.T @ g, g.sum(0))):
+                for k, d in zip(names, (y.T @ h, h.sum(0), a.T @ g, g.sum(0))):
                     m[k] = 0.9 * m[k] + 0.1 * d
                     v[k] = 0.999 * v[k] + 0.001 * d * d
                     setattr(self, k, (getattr(self, k) - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32))
@@ -154,12 +161,7 @@ def fit_router(x: np.ndarray, parts: int, seed: int = 11) -> tuple[Router | None
     rng = np.random.default_rng(seed)
     graph = neighbour_graph(x)
     label = balanced_parts(x, graph, parts, rng)
-    target = np.zeros((len(x), parts), np.float32)
-    target[np.arange(len(x)), label] += 1
-    for j in range(graph.shape[1]):
-        target[np.arange(len(x)), label[graph[:, j]]] += 0.5
-    target /= target.sum(1, keepdims=True)
-    router = Router(x.shape[1], parts, rng).fit(x, target, rng)
+    router = Router(x.shape[1], parts, rng).fit(x, label, rng)
     return router, np.bincount(router.probabilities(x).argmax(1), minlength=parts) / len(x)
 
 
