@@ -39,3 +39,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
     both = [neighbour_pairs(nearest(table(spark, d, t), k, "embedding")).select(F.lit(t).alias("tbl"), "id_a", "id_b") for t, k in (("chunks", "chunk_id"), ("delivered", "msg_id"))]
     return both[0].unionByName(both[1])
+
+
+@_query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of cards that are alike: msg_id_a, msg_id_b."""
+    from quaylight.functions.text import card_body_col
+    from quaylight.llm.near_dup import expanded_pairs, near_copies
+
+    cards = table(spark, d, "delivered")
+    body = F.coalesce(F.col("norm_text"), F.when(F.col("norm_text").isNull(), card_body_col(F.when(F.col("norm_text").isNull(), F.col("text")))))
+    return expanded_pairs(near_copies(cards, "msg_id", body, 0.6)).select(F.col("id_a").alias("msg_id_a"), F.col("id_b").alias("msg_id_b"))
