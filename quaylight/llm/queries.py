@@ -50,3 +50,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     cards = table(spark, d, "delivered")
     body = F.coalesce(F.col("norm_text"), F.when(F.col("norm_text").isNull(), card_body_col(F.when(F.col("norm_text").isNull(), F.col("text")))))
     return expanded_pairs(near_copies(cards, "msg_id", body, 0.6)).select(F.col("id_a").alias("msg_id_a"), F.col("id_b").alias("msg_id_b"))
+
+
+@_query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that lost their end: doc_id."""
+    from quaylight.llm.truncation import find_cut
+
+    return find_cut(table(spark, d, "documents"), "doc_id", "text", "kind").select("doc_id")
+
+
+@_query
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates: source, records, cut, share."""
+    from quaylight.llm.truncation import find_cut, share_by_source
+
+    docs = table(spark, d, "documents")
+    return share_by_source(docs, find_cut(docs, "doc_id", "text", "kind"), "doc_id", "source")
