@@ -67,3 +67,29 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
 
     docs = table(spark, d, "documents")
     return share_by_source(docs, find_cut(docs, "doc_id", "text", "kind"), "doc_id", "source")
+
+
+def pii_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that may hold personal data: tbl, row_key, place, text."""
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("tbl"), F.col("source_id").alias("row_key"), F.lit("text").alias("place"), "text")
+    leads = table(spark, d, "hot_leads").select(F.lit("hot_leads").alias("tbl"), F.col("id").alias("row_key"), F.lit("source_sender").alias("place"), F.col("source_sender").alias("text"))
+    quotes = table(spark, d, "growth_segments").select("id", F.posexplode("quotes").alias("i", "q"))
+    both = F.array(*[F.struct(F.concat(F.lit("quotes["), "i", F.lit(f"].{f}")).alias("place"), F.col(f"q.{f}").alias("text")) for f in ("text", "sender")])
+    quotes = quotes.select("id", F.explode(both).alias("f")).select(F.lit("growth_segments").alias("tbl"), F.col("id").alias("row_key"), "f.place", "f.text")
+    return chunks.unionByName(leads).unionByName(quotes)
+
+
+@_query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in chunks, leads and quotes: tbl, row_key, place, kind, found_text."""
+    from quaylight.llm.pii import findings, names_of
+
+    return findings(pii_fields(spark, d), names_of(table(spark, d, "name_parts")))
+
+
+@_query
+def p6_redacted_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of chunks with placeholders: source_id, redacted."""
+    from quaylight.llm.pii import names_of, redact
+
+    return table(spark, d, "chunks").select("source_id", redact(F.col("text"), names_of(table(spark, d, "name_parts"))).alias("redacted"))
