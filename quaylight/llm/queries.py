@@ -93,3 +93,15 @@ def p6_redacted_chunks(spark: SparkSession, d: str) -> DataFrame:
     from quaylight.llm.pii import names_of, redact
 
     return table(spark, d, "chunks").select("source_id", redact(F.col("text"), names_of(table(spark, d, "name_parts"))).alias("redacted"))
+
+
+@_query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that repeat an accepted one: tbl, first_seq, seq."""
+    from quaylight.llm.linkage import History, catch_up, fingerprint_kind, video_kind
+
+    out = []
+    for t, kind in (("content_seen", fingerprint_kind()), ("bili_videos", video_kind())):
+        links = catch_up(History(spark, kind), table(spark, d, t), "batch_no")
+        out.append(links.where("first_seq is not null").select(F.lit(t).alias("tbl"), "first_seq", "seq"))
+    return out[0].unionByName(out[1])
