@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaylight.session import materialize
 
@@ -114,6 +115,25 @@ def sign(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, text).mapInArrow(run, f"{key} {kept.dataType.simpleString()}, bands array<bigint>, s0 bigint, s1 bigint")
 
 
+def signed_rows(rows: DataFrame, text: str, bands: str) -> DataFrame:
+    """All columns of ``rows`` with ``bands`` (array of long), s0, s1, null where the text is; no shuffle."""
+    at = rows.columns.index(text)
+    schema = T.StructType([*rows.schema.fields, T.StructField(bands, T.ArrayType(T.LongType())), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                c = b.slice(lo, 1024)
+                texts = c.column(at).to_pylist()
+                none = np.array([t is None for t in texts])
+                sig = signatures(*char_shingles([t or "" for t in texts]))
+                keys, sk = band_keys(sig), sketches(sig)
+                lists = pa.array([None if x else k for x, k in zip(none, keys)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*c.columns, lists, pa.array(sk[:, 0].copy(), mask=none), pa.array(sk[:, 1].copy(), mask=none)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def bucket_pairs(rows: DataFrame, block: int | None = None) -> DataFrame:
     """Distinct pairs a < b of ids that share a key, of rows (key, id)."""
     block = block or BLOCK
