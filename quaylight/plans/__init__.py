@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("data_quality",)
+_MODULES = ("data_quality", "messages", "analytics", "star", "streams")
 
 
 def core_queries() -> dict:
