@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quaylight.session import materialize
 
 CAPACITY = 2048
-BUCKETS = 96
+BUCKETS = 256
 #: Items ranked together in one shard, about.
 SHARD_ROWS = 200_000
 
@@ -143,7 +143,8 @@ def pack(items: DataFrame, key: str, length: str, capacity: int = CAPACITY, buck
         return pd.DataFrame({"container_id": cont, "room_start": room})
 
     shards = math.ceil(int(counts.sum()) / SHARD_ROWS)
-    bucket = F.array_position(F.transform(F.array(*[F.lit(int(x)) for x in bounds]), lambda x: x >= F.col("part_length")), True).cast("int") - 1
+    of_length = np.searchsorted(bounds, np.arange(1, int(bounds[-1]) + 1))
+    bucket = F.expr(f"array({', '.join(map(str, of_length))})")[F.col("part_length").cast("int") - 1]
     pieces = pieces.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards)).cast("int"))
     sizes = pieces.groupBy("bucket", "shard").count()
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
