@@ -160,7 +160,7 @@ class Names:
             f.append("at start")
         if e == len(t):
             f.append("at end")
-        elif s == 0 and re.match(r" (?:[+(]?[0-9]|/ |\S{1,40}@)", t[e : e + 44]):
+        elif s == 0 and re.match(r" (?:[+(]{0,2}[0-9]|/ |\S{1,40}@)", t[e : e + 44]):
             f.append("contact follows")
         return f
 
