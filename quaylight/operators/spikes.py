@@ -6,9 +6,12 @@ robust distance from the source's own centred median, whether it repeats a
 neighbouring reading, and whether it lies outside hard bounds;
 forward-backward gives the probability of each state.
 
-The series are cut into segments of ``SEGMENT_DAYS`` days with a halo on both
-sides, so a source of any length is spread over tasks of bounded size.  The halo
-covers the median's window; the posterior forgets its start well within it.
+The series are cut into segments of ``SEGMENT_DAYS`` days with a halo of days on both
+sides, so a source of any length, and one that holds a third of all rows, is spread over
+tasks of bounded size.  The halo covers the median's window; the posterior forgets its
+start well within it.  Runs of equal readings skip missing days of any number, so each
+segment also gets the few readings before and after it, taken from summaries of the
+other segments.
 
 Defined results: null and NaN readings and null days are no readings; rows that
 occur twice in full count once; a source with one reading is normal unless out
@@ -100,44 +103,67 @@ def likelihoods(z: np.ndarray, equal: np.ndarray, outside: np.ndarray, equal_rat
     )
 
 
-def _score(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Medians, distances and state probabilities of whole segments."""
+def _neighbours(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of readings in order: whether one equals the one before or after it in its group, and its run's length."""
+    n = len(x)
+    new = np.ones(n, bool)
+    new[1:] = (x[1:] != x[:-1]) | (group[1:] != group[:-1])
+    run = np.cumsum(new) - 1
+    length = np.bincount(run, minlength=1)[run] if n else np.empty(0, int)
+    return length > 1, length
+
+
+def _score(pdf: pd.DataFrame, bounds: dict[str, tuple[float, float]]) -> pd.DataFrame:
+    """Medians, distances and state probabilities of whole segments.
+
+    ``part``: 0 a reading of the segment, 1 of its halo, -1 and 2 one of the few before and after the segment.
+    """
+    pdf = pdf.sort_values(["source", "metric", "seg", "day_no", "value"], kind="stable", ignore_index=True)
     keys = pdf.groupby(["source", "metric", "seg"], sort=False).ngroup().to_numpy()
+    part, x = pdf["part"].to_numpy(), pdf["value"].to_numpy(float)
+    eq, long = np.zeros(len(pdf), bool), np.zeros(len(pdf), int)
+    for at in (np.nonzero(part == 1)[0], np.nonzero(part != 1)[0]):
+        if len(at):
+            # the readings around a segment are numbered so that they sort to their places
+            at = at[np.lexsort((at, np.sign(part[at] * (part[at] != 1)), keys[at]))]
+            eq[at], long[at] = _neighbours(keys[at], x[at])
+    use = (part == 0) | (part == 1)
+    pdf, keys, x, eq, long = pdf[use].reset_index(drop=True), keys[use], x[use], eq[use], long[use]
+    if len(pdf) == 0:
+        return _empty()
+    keys = np.unique(keys, return_inverse=True)[1]
     n = int(keys.max()) + 1
-    first = np.full(n, np.iinfo(np.int64).max)
     day = pdf["day_no"].to_numpy(np.int64)
+    first = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(first, keys, day)
     col = day - first[keys]
-    grid = np.full((n, int(col.max()) + 1), np.nan)
-    x = pdf["value"].to_numpy(float)
-    # a day with two unequal readings keeps both apart: a second one moves to a layer of its own
-    layer = pdf.groupby([keys, col]).cumcount().to_numpy()
-    if layer.max(initial=0) == 0:
+    # a day with two unequal readings has no place on the grid of days
+    if len(np.unique(keys * (int(col.max()) + 1) + col)) == len(col):
+        grid = np.full((n, int(col.max()) + 1), np.nan)
         grid[keys, col] = x
         med, mad = rolling_median_mad(grid)
         m, d = med[keys, col], mad[keys, col]
     else:
         m, d = _slow_median_mad(keys, day, x)
-    order = np.lexsort((x, day, keys))
-    pos = np.empty(len(pdf), np.int64)
-    starts = np.searchsorted(keys[order], np.arange(n))
-    pos[order] = np.arange(len(pdf)) - starts[keys[order]]
+    start = np.searchsorted(keys, np.arange(n))
+    pos = np.arange(len(pdf)) - start[keys]
     t = int(pos.max()) + 1
-    eq, out = pdf["equal_near"].to_numpy(bool), pdf["outside"].to_numpy(bool)
-    rate = np.bincount(keys, eq, n) / np.maximum(np.bincount(keys, minlength=n), 1)
-    rate = np.clip(rate, 0.01, 0.25)[keys]
-    scale = np.maximum(1.4826 * d, 1e-6)
-    z = np.where(d > 0, (x - m) / scale, np.where(np.abs(x - m) > 0, 3.0, 0.0))
-    like = np.ones((n, t, 4))
-    there = np.zeros((n, t), bool)
+    lo, hi = (pdf["metric"].map({k: v[i] for k, v in bounds.items()}).to_numpy(float) for i in (0, 1))
+    out = (x < lo) | (x > hi)
+    rate = np.clip(np.bincount(keys, eq, n) / np.bincount(keys, minlength=n), 0.01, 0.25)[keys]
+    z = np.where(d > 0, (x - m) / np.maximum(1.4826 * d, 1e-6), np.where(np.abs(x - m) > 0, 3.0, 0.0))
+    like, there = np.ones((n, t, 4)), np.zeros((n, t), bool)
     like[keys, pos], there[keys, pos] = likelihoods(z, eq, out, rate), True
     p = forward_backward(like, there)[keys, pos]
-    res = pdf[["source", "day", "metric", "value", "outside", "run"]].copy()
-    res["median"], res["mad"] = m, d
-    for i, s in enumerate(STATES):
-        res[f"p_{s}"] = p[:, i]
-    core = (day // SEGMENT_DAYS) == pdf["seg"].to_numpy(np.int64)
-    return res[core]
+    res = pdf[["source", "day", "metric", "value"]].copy()
+    res["outside"], res["run"], res["median"], res["mad"] = out, long >= RUN, m, d
+    for i, name in enumerate(STATES):
+        res[f"p_{name}"] = p[:, i]
+    return res[pdf["part"].to_numpy() == 0]
+
+
+def _empty() -> pd.DataFrame:
+    return pd.DataFrame({c: [] for c in ["source", "day", "metric", "value", "outside", "run", "median", "mad", *[f"p_{s}" for s in STATES]]})
 
 
 def _slow_median_mad(keys: np.ndarray, day: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,44 +181,40 @@ def score_readings(df: DataFrame, source: str, day: str, bounds: dict[str, tuple
     """One row a reading: source, day, metric, value, outside, run, median, mad, p_* of each state.
 
     ``bounds`` names the metric columns with their least and greatest possible value.
-    One shuffle serves the removal of full repeats and the neighbour window: both
-    cluster by source and metric.
+    Full repeats are removed and segments summarised in one shuffle, by source, metric and segment; a second
+    one brings each segment together with its halo.
     """
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     pairs = ", ".join(f"'{m}', cast(`{m}` as double)" for m in bounds)
     rows = df.where(F.col(day).isNotNull() & F.col(source).isNotNull()).select(
         F.col(source).alias("source"), F.col(day).cast("date").alias("day"), whole.alias("row_hash"), F.expr(f"stack({len(bounds)}, {pairs}) as (metric, value)")
     )
-    rows = rows.where("value is not null and not isnan(value)")
-    rows = rows.repartition("source", "metric").dropDuplicates(["source", "metric", "day", "value", "row_hash"])
-    w = Window.partitionBy("source", "metric").orderBy("day", "value")
-    near = {i: (F.lag("value", -i) if i < 0 else F.lead("value", i)).over(w) for i in range(1 - RUN, RUN) if i}
-    near = {i: (F.lag("value", -i).over(w) if i < 0 else F.lead("value", i).over(w)) == F.col("value") for i in near}
-    same = {i: F.coalesce(c, F.lit(False)) for i, c in near.items()} | {0: F.lit(True)}
-    rows = rows.select("source", "metric", "day", "value", *[c.alias(f"s{i + RUN}") for i, c in same.items()])
-    got = {i: F.col(f"s{i + RUN}") for i in same}
-    run = F.lit(False)
-    for lo in range(1 - RUN, 1):
-        one = F.lit(True)
-        for i in range(lo, lo + RUN):
-            one = one & got[i]
-        run = run | one
-    lo_hi = F.lit(False)
-    for m, (lo, hi) in bounds.items():
-        lo_hi = F.when(F.col("metric") == m, (F.col("value") < lo) | (F.col("value") > hi)).otherwise(lo_hi)
     day_no = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long")
-    rows = rows.select(
-        "source", "metric", "day", "value", day_no.alias("day_no"), lo_hi.alias("outside"), run.alias("run"), (got[-1] | got[1]).alias("equal_near"),
-        F.explode(F.array_distinct(F.array(*[F.floor((day_no + h) / SEGMENT_DAYS).cast("long") for h in (-HALO_DAYS, 0, HALO_DAYS)]))).alias("seg"),
-    )
-    rows = rows.repartition("source", "metric", "seg").sortWithinPartitions("source", "metric", "seg", "day_no")
+    rows = rows.where("value is not null and not isnan(value)").withColumn("day_no", day_no).withColumn("home", F.floor(F.col("day_no") / SEGMENT_DAYS))
+    rows = rows.repartition("source", "metric", "home").dropDuplicates(["source", "metric", "home", "day_no", "value", "row_hash"])
+    # the few readings around each segment
+    few = RUN - 1
+    order = F.array_sort(F.collect_list(F.struct("day_no", "value")))
+    edges = rows.groupBy("source", "metric", "home").agg(order.alias("all")).select("source", "metric", "home", F.slice("all", 1, few).alias("head"), F.slice(F.reverse("all"), 1, few).alias("tail"))
+    w = Window.partitionBy("source", "metric").orderBy("home")
+    before = F.flatten(F.reverse(F.collect_list("tail").over(w.rowsBetween(-few, -1))))
+    after = F.flatten(F.collect_list("head").over(w.rowsBetween(1, few)))
+    edges = edges.select("source", "metric", "home", F.slice(before, 1, few).alias("before"), F.slice(after, 1, few).alias("after"))
+    around = [
+        edges.select("source", "metric", F.col("home").alias("seg"), F.lit(None).cast("date").alias("day"), F.explode(side).alias("e"), F.lit(part).alias("part")).select("source", "metric", "seg", "day", "e.day_no", "e.value", "part")
+        for side, part in (("before", -1), ("after", 2))
+    ]
+    halo = F.explode(F.array_distinct(F.array(*[F.floor((F.col("day_no") + h) / SEGMENT_DAYS) for h in (-HALO_DAYS, 0, HALO_DAYS)])))
+    spread = rows.select("source", "metric", halo.alias("seg"), "day", "day_no", "value", "home").select("source", "metric", "seg", "day", "day_no", "value", F.when(F.col("seg") == F.col("home"), 0).otherwise(1).alias("part"))
+    spread = spread.unionByName(around[0]).unionByName(around[1])
+    spread = spread.repartition("source", "metric", "seg").sortWithinPartitions("source", "metric", "seg")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["source", "metric", "seg"]):
-            yield _score(pdf)
+            yield _score(pdf, bounds)
 
     probs = ", ".join(f"p_{s} double" for s in STATES)
-    return rows.mapInPandas(score, f"source string, day date, metric string, value double, outside boolean, run boolean, median double, mad double, {probs}")
+    return spread.mapInPandas(score, f"source string, day date, metric string, value double, outside boolean, run boolean, median double, mad double, {probs}")
 
 
 def distrusted(scored: DataFrame) -> DataFrame:

@@ -85,3 +85,9 @@ def test_forward_backward_sums_to_one_and_follows_evidence():
     p = forward_backward(likelihoods(z, no, no, np.full((1, 5), 0.05)), np.ones((1, 5), bool))
     assert np.allclose(p.sum(2), 1)
     assert p[0, 2, 1] > 0.9 and p[0, 0, 0] > 0.9
+
+
+def test_a_run_across_far_segments(spark):
+    days = [0, 300, 700, 1000, 1400]
+    rows = [("a", D0 + dt.timedelta(days=d), 50.0) for d in days] + [("b", D0 + dt.timedelta(days=d), 50.0 + (d == 700)) for d in days]
+    assert found(spark, rows) == {("a", D0 + dt.timedelta(days=d)) for d in days}
