@@ -66,3 +66,47 @@ def expanded_pairs(n: NearCopies) -> DataFrame:
     cross = n.links.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").where("x <> y").select("x", "y")
     both = pairs.unionByName(cross)
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, root: the smallest node of each component of the edges (a, b).
+
+    Rounds of large-star and small-star: every node's larger neighbours are tied to its smallest one, then its
+    smaller ones.  Edges never grow in number, no node's neighbours are gathered, and
+    each round's edges are a table in the shared folder.
+    """
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        j = both.join(low, "a")
+        if large:
+            return j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        return j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+    cur, before = edges.select("a", "b").where("a <> b"), None
+    for _ in range(most_rounds):
+        cur = materialize(star(star(cur, True), False), "stars")
+        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    roots = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def classes(n: NearCopies, df: DataFrame, key: str) -> DataFrame:
+    """key, class_id, links: one row a key; its class is named by its smallest member, ``links`` counts the other texts linked to its text.
+
+    A key with different texts takes the smallest of its classes; one without comparable text is a class of its own.
+    """
+    roots = components(n.links).select(F.col("node").alias("rep"), "root")
+    both = n.links.select(F.col("a").alias("rep")).unionByName(n.links.select(F.col("b").alias("rep")))
+    m = n.members.join(roots, "rep", "left").join(both.groupBy("rep").agg(F.count("*").alias("links")), "rep", "left")
+    m = materialize(m.select("id", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    named = m.groupBy("root").agg(F.min("id").alias("class_id"))
+    per = m.join(named, "root").groupBy("id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    ids = df.select(F.col(key).cast("long").alias("id")).where("id is not null").distinct()
+    return ids.join(per, "id", "left").select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -41,15 +41,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+def _cards(spark: SparkSession, d: str) -> tuple:
+    """Cards, their key, and the text by which they are compared."""
+    from quaylight.functions.text import card_body_col
+
+    missing = F.col("norm_text").isNull()
+    return table(spark, d, "delivered"), "msg_id", F.when(missing, card_body_col(F.when(missing, F.col("text")))).otherwise(F.col("norm_text"))
+
+
 @_query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of cards that are alike: msg_id_a, msg_id_b."""
-    from quaylight.functions.text import card_body_col
     from quaylight.llm.near_dup import expanded_pairs, near_copies
 
-    cards = table(spark, d, "delivered")
-    body = F.coalesce(F.col("norm_text"), F.when(F.col("norm_text").isNull(), card_body_col(F.when(F.col("norm_text").isNull(), F.col("text")))))
-    return expanded_pairs(near_copies(cards, "msg_id", body, 0.6)).select(F.col("id_a").alias("msg_id_a"), F.col("id_b").alias("msg_id_b"))
+    return expanded_pairs(near_copies(*_cards(spark, d), 0.6)).select(F.col("id_a").alias("msg_id_a"), F.col("id_b").alias("msg_id_b"))
+
+
+@_query
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each card with its class of near copies and its number of links: msg_id, class_id, links."""
+    from quaylight.llm.near_dup import classes, near_copies
+
+    cards, key, body = _cards(spark, d)
+    return classes(near_copies(cards, key, body, 0.6), cards, key)
 
 
 @_query

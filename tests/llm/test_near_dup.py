@@ -94,3 +94,36 @@ def test_signatures_estimate_similarity():
 def test_card_body():
     assert card_body("📢 head\n👤 me\nsee [here](https://a.b/c) https://x.y at 12:30 ok  ") == "see here at ok"
     assert card_body(None) == "" and card_body(" \n ") == "" and len(card_body("x" * 5000)) == 1500
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 500 + i) for i in range(1, 30)]
+    root = {v: v for e in edges for v in e}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    df = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")
+    from quaylight.llm.near_dup import components
+
+    got = {r.node: r.root for r in components(df).collect()}
+    assert got == {v: top(v) for e in edges if e[0] != e[1] for v in e}
+    assert components(df.where("false")).count() == 0
+
+
+def test_classes(spark, rows):
+    from quaylight.llm.near_dup import classes
+
+    df = spark.createDataFrame(rows, "msg long, txt string")
+    got = {r.msg: (r.class_id, r.links) for r in classes(near_copies(df, "msg", F.col("txt"), 0.6), df, "msg").collect()}
+    pairs = brute(rows)
+    assert set(got) == {i for i, _ in rows if i is not None}
+    assert all(got[a][0] == got[b][0] for a, b in pairs)
+    alone = set(got) - {i for p in pairs for i in p}
+    assert all(got[i] == (i, 0) for i in alone)
