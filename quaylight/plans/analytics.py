@@ -113,14 +113,13 @@ def merged_episodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("albums_of_messages", """
-with o as (select user_id, event_id, ts, props, case when event_type in ('view', 'click') then '' else event_type end as txt from events),
-l as (select *, lag(event_id) over w as pn, lag(ts) over w as pt from o window w as (order by event_id)),
-h as (select *, case when txt = '' and pn = event_id - 1 and ts - pt <= interval 600 seconds then null else event_id end as head0 from l)
-select event_id, last_value(head0 ignore nulls) over (order by event_id rows between unbounded preceding and current row) as head from h""")
+with o as (select chat_id, msg_id, seq, coalesce(trim(channel), '') as txt, lag(msg_id) over w as pn, lag(seq) over w as ps from content_seen window w as (partition by chat_id order by msg_id)),
+h as (select *, case when txt = '' and pn = msg_id - 1 and abs(seq - ps) <= 600 then null else msg_id end as head0 from o)
+select chat_id, msg_id, last_value(head0 ignore nulls) over (partition by chat_id order by msg_id rows between unbounded preceding and current row) as head from h""")
 def albums_of_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Events without a text of their own joined to the one right before them, if near in time. One chat, so one sorted pass."""
-    e = table(spark, d, "events").select("event_id", "ts", F.lit(1).alias("chat"), F.when(F.col("event_type").isin("view", "click"), "").otherwise(F.col("event_type")).alias("txt"))
-    return sessions.albums(e, "chat", "event_id", "ts", "txt", 600).select("event_id", "head")
+    """Messages without a channel's text joined to the one right before them in their chat, if near in time (here: of arrival)."""
+    c = table(spark, d, "content_seen").select("chat_id", "msg_id", F.timestamp_seconds("seq").alias("ts"), F.col("channel").alias("txt"))
+    return sessions.albums(c, "chat_id", "msg_id", "ts", "txt", 600).select("chat_id", "msg_id", "head")
 
 
 @query("budgeted_chunks")

@@ -15,10 +15,9 @@ from quaylight.sources.tables import table
 def gate_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Whether each later document would be held back, given the earlier ones."""
     docs = table(spark, d, "documents").select("doc_id", "text", "published_at")
-    cut = docs.agg(F.percentile_approx("doc_id", 0.5).alias("mid"))
-    both = docs.join(cut)
-    old = both.where("doc_id <= mid").select(F.explode(identity.seen_keys_col(F.col("text"))).alias("key"), F.col("doc_id").alias("owner"), F.struct("published_at", "doc_id").alias("order"))
-    return records.gate_decisions(both.where("doc_id > mid"), old, "doc_id", "text")
+    mid = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
+    old = docs.where(F.col("doc_id") <= mid).select(F.explode(identity.seen_keys_col(F.col("text"))).alias("key"), F.col("doc_id").alias("owner"), F.struct("published_at", "doc_id").alias("order"))
+    return records.gate_decisions(docs.where(F.col("doc_id") > mid), old, "doc_id", "text")
 
 
 @query("resolved_targets", """
@@ -80,10 +79,10 @@ def digests_as_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("prompts_by_producer", """
-with c as (select distinct msg_id, producer, text from delivered) select producer, md5('cards:' || chr(10) || string_agg('[' || msg_id || '] ' || text, chr(10) order by msg_id)) as prompt from c where length(text) < 40 group by 1""")
+with c as (select distinct msg_id, producer, text from delivered) select producer, md5('cards:' || chr(10) || string_agg('[' || msg_id || '] ' || text, chr(10) order by msg_id)) as prompt from c group by 1""")
 def prompts_by_producer(spark: SparkSession, d: str) -> DataFrame:
-    """Hashes of the transcripts of short cards by producer."""
-    c = table(spark, d, "delivered").select("msg_id", "producer", "text").distinct().where("length(text) < 40")
+    """Hashes of the transcripts of a producer's cards."""
+    c = table(spark, d, "delivered").select("msg_id", "producer", "text").distinct()
     p = records.prompts(c, "producer", "msg_id", F.concat(F.lit("["), F.col("msg_id"), F.lit("] "), F.col("text")), "cards:\n")
     return p.select("producer", F.md5("prompt").alias("prompt"))
 
