@@ -26,11 +26,12 @@ END_MARKS = ".,;!?\"'。，；：！？"
 BARE_LINK_CHARS = 10
 FINGERPRINT_CHARS = 24
 
-#: Portable patterns: the same text works in Spark, DuckDB and Python's regex dialects.
+# Shapes of links and what is no substance. The same text works in the dialects of Spark, DuckDB and Python.
 MD_LINK = r"\[([^\]\n]+)\]\((https?://[^)\s]+)\)"
 BARE_LINK = r"https?://[^\s<>（）【】《》「」『』，。；：！？、一-鿿]+"
 NOT_SUBSTANCE = r"[\p{P}\p{S}\p{Z}\p{C}\s]"
 
+# Paths of posts, articles and videos.
 _POST = re.compile(r"/(?:i/web/)?(?:\w+/)?status(?:es)?/(\d+)(?:/|$)", re.A)
 _ARTICLE = re.compile(r"/(?:i/article|\w+/articles)/([\w-]+)(?:/|$)", re.A)
 _VIDEO = re.compile(r"BV[0-9A-Za-z]{10}")
