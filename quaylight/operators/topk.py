@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Queries held by a task at a time.
 QUERY_BLOCK = 4096
+#: Rows compared with them at a time.
+ROW_BLOCK = 1024
 
 
 def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, least: float = -2.0, blocks: int | None = None) -> DataFrame:
@@ -62,13 +64,8 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, least: float = -2.0
                         width = max(len(v) for v in qv)
                         unit_q = _units(qv, width)
                         best = np.full((len(qid), k), -9.0), np.full((len(qid), k), np.iinfo(np.int64).max)
-                    s = unit_q @ _units(d["v"][at:end], width).T
-                    ids = np.array(d["id"][at:end], np.int64)
-                    s[np.array(qid)[:, None] == ids[None, :]] = -9.0
-                    alls = np.concatenate([best[0], s], axis=1)
-                    idx = np.concatenate([best[1], np.broadcast_to(ids, s.shape)], axis=1)
-                    top = np.lexsort((idx, -alls), axis=1)[:, :k]
-                    best = np.take_along_axis(alls, top, 1), np.take_along_axis(idx, top, 1)
+                    for lo in range(at, end, ROW_BLOCK):
+                        best = _merged(best, unit_q, np.array(qid), np.array(d["id"][lo : min(end, lo + ROW_BLOCK)], np.int64), _units(d["v"][lo : min(end, lo + ROW_BLOCK)], width))
                 at = end
         yield from flush()
 
@@ -77,6 +74,25 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, least: float = -2.0
     return found.where("similarity > -9").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
+def _merged(best: tuple, q: np.ndarray, qid: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best so far and the best of some more rows, whose ids ascend; of equals the first, hence the smaller id."""
+    k = best[0].shape[1]
+    s = q @ rows.T
+    at = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
+    own = ids[at] == qid
+    every = np.arange(len(q))
+    s[every[own], at[own]] = -9.0
+    sims, who = [best[0]], [best[1]]
+    for _ in range(min(k, len(ids))):
+        j = s.argmax(axis=1)
+        sims.append(s[every, j][:, None])
+        who.append(ids[j][:, None])
+        s[every, j] = -9.0
+    sims, who = np.concatenate(sims, 1), np.concatenate(who, 1)
+    top = np.lexsort((who, -sims), axis=1)[:, :k]
+    return np.take_along_axis(sims, top, 1), np.take_along_axis(who, top, 1)
+
+
 def _units(vs: list, width: int) -> np.ndarray:
     """Unit rows; a vector of another length or without direction is all zero."""
     x = np.zeros((len(vs), width))
