@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 PART_ROWS = 4096
 BLOCK_ROWS = 8192
 MAX_PARTS = 1024
-COVERAGE = 0.75
+COVERAGE = 0.82
 HIDDEN = 96
 #: Length of the noise added to a unit vector in training: where its neighbours may lie.
 NOISE = 0.3
@@ -311,3 +311,18 @@ def neighbour_pairs(found: DataFrame) -> DataFrame:
     """Each pair of which one is in the other's list, once: id_a < id_b."""
     p = found.select("id", F.explode("neighbours.id").alias("other"))
     return p.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def recall(found: DataFrame, df: DataFrame, key: str, vector: str, k: int = 3, dim: int = 48, every: int = 20) -> DataFrame:
+    """queries, wanted, hit, recall: ``found`` against an exact search for the rows whose id is divisible by ``every``.
+
+    A query whose exact list ends in a tie of single-precision similarities may differ in its last place.
+    """
+    from quaylight.operators.topk import exact_top_k
+
+    v = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(f"id is not null and size(v) = {dim}")
+    v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).dropDuplicates(["id"])
+    exact = exact_top_k(v.where(F.col("id") % every == 0), v, k).select(F.col("query_id").alias("id"), F.col("id").alias("other"))
+    got = found.select("id", F.explode("neighbours.id").alias("other"), F.lit(1).alias("hit"))
+    j = exact.join(got, ["id", "other"], "left")
+    return j.agg(F.count_distinct("id").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("hit")).withColumn("recall", F.col("hit") / F.col("wanted"))

@@ -119,3 +119,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
         links = catch_up(History(spark, kind), table(spark, d, t), "batch_no")
         out.append(links.where("first_seq is not null").select(F.lit(t).alias("tbl"), "first_seq", "seq"))
     return out[0].unionByName(out[1])
+
+
+@_query
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the search, for every twentieth vector against all: tbl, queries, wanted, hit, recall."""
+    from quaylight.llm.neighbours import nearest, recall
+
+    both = []
+    for t, k in (("chunks", "chunk_id"), ("delivered", "msg_id")):
+        rows = table(spark, d, t)
+        both.append(recall(nearest(rows, k, "embedding"), rows, k, "embedding").select(F.lit(t).alias("tbl"), "queries", "wanted", "hit", "recall"))
+    return both[0].unionByName(both[1])

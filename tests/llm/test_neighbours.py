@@ -74,3 +74,11 @@ def test_probes_cover():
     p = np.array([[0.7, 0.2, 0.1], [0.99, 0.005, 0.005]])
     r, c = N._probes(p, 0.95)
     assert list(zip(r, c)) == [(0, 0), (0, 1), (0, 2), (1, 0)]
+
+
+def test_recall_is_measured_against_all(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8)) for i in range(400)] + [(900, None)]
+    df = frame(spark, rows)
+    r = N.recall(N.nearest(df, "row", "v", 3, 8), df, "row", "v", 3, 8).first()
+    assert (r.queries, r.wanted, r.recall) == (20, 60, 1.0)
