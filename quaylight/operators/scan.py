@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, time, timezone
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +23,22 @@ def chat_ids(chat: int | str) -> list[int]:
     return sorted(out)
 
 
-def day_window(ts: Column, since: str, until: str, zone: str = LOCAL_ZONE) -> Column:
-    """ts in [since 00:00, until 00:00) of the zone. The bounds are constants, so they reach the scan."""
-    lo, hi = (F.to_utc_timestamp(F.lit(d).cast("timestamp"), zone) for d in (since, until))
-    return (ts >= lo) & (ts < hi)
+def day_window(df: DataFrame, ts: str, since: str, until: str, zone: str = LOCAL_ZONE) -> Column:
+    """ts in [since 00:00, until 00:00) of the zone; a time without zone counts as UTC.
+
+    The bounds are constants of the column's own type, so the filter reaches the scan and prunes row groups.
+    """
+    def bound(day: str) -> Column:
+        local = datetime.combine(date.fromisoformat(day), time.min, ZoneInfo(zone))
+        return F.lit(local.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S+00:00" if kind == "timestamp" else "%Y-%m-%d %H:%M:%S")).cast(kind)
+
+    kind = df.schema[ts].dataType.simpleString()
+    return (F.col(ts) >= bound(since)) & (F.col(ts) < bound(until))
 
 
 def newest_in_window(df: DataFrame, ts: str, since: str, until: str, limit: int, tie: str) -> DataFrame:
     """The latest ``limit`` rows of the window, oldest first."""
-    return df.where(day_window(F.col(ts).cast("timestamp"), since, until)).orderBy(F.desc(ts), F.desc(tie)).limit(limit).orderBy(ts, tie)
+    return df.where(day_window(df, ts, since, until)).orderBy(F.desc(ts), F.desc(tie)).limit(limit).orderBy(ts, tie)
 
 
 def oldest_after_mark(df: DataFrame, key: str, mark: int, limit: int) -> DataFrame:

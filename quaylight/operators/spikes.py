@@ -155,7 +155,7 @@ def _score(pdf: pd.DataFrame, bounds: dict[str, tuple[float, float]]) -> pd.Data
     like, there = np.ones((n, t, 4)), np.zeros((n, t), bool)
     like[keys, pos], there[keys, pos] = likelihoods(z, eq, out, rate), True
     p = forward_backward(like, there)[keys, pos]
-    res = pdf[["source", "day", "metric", "value"]].copy()
+    res = pdf[["source", "day_no", "metric", "value"]].copy()
     res["outside"], res["run"], res["median"], res["mad"] = out, long >= RUN, m, d
     for i, name in enumerate(STATES):
         res[f"p_{name}"] = p[:, i]
@@ -163,7 +163,7 @@ def _score(pdf: pd.DataFrame, bounds: dict[str, tuple[float, float]]) -> pd.Data
 
 
 def _empty() -> pd.DataFrame:
-    return pd.DataFrame({c: [] for c in ["source", "day", "metric", "value", "outside", "run", "median", "mad", *[f"p_{s}" for s in STATES]]})
+    return pd.DataFrame({c: [] for c in ["source", "day_no", "metric", "value", "outside", "run", "median", "mad", *[f"p_{s}" for s in STATES]]})
 
 
 def _slow_median_mad(keys: np.ndarray, day: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +187,9 @@ def score_readings(df: DataFrame, source: str, day: str, bounds: dict[str, tuple
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     pairs = ", ".join(f"'{m}', cast(`{m}` as double)" for m in bounds)
     rows = df.where(F.col(day).isNotNull() & F.col(source).isNotNull()).select(
-        F.col(source).alias("source"), F.col(day).cast("date").alias("day"), whole.alias("row_hash"), F.expr(f"stack({len(bounds)}, {pairs}) as (metric, value)")
+        F.col(source).alias("source"), F.unix_date(F.col(day).cast("date")).cast("long").alias("day_no"), whole.alias("row_hash"), F.expr(f"stack({len(bounds)}, {pairs}) as (metric, value)")
     )
-    day_no = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long")
-    rows = rows.where("value is not null and not isnan(value)").withColumn("day_no", day_no).withColumn("home", F.floor(F.col("day_no") / SEGMENT_DAYS))
+    rows = rows.where("value is not null and not isnan(value)").withColumn("home", F.floor(F.col("day_no") / SEGMENT_DAYS))
     rows = rows.repartition("source", "metric", "home").dropDuplicates(["source", "metric", "home", "day_no", "value", "row_hash"])
     # the few readings around each segment
     few = RUN - 1
@@ -199,14 +198,12 @@ def score_readings(df: DataFrame, source: str, day: str, bounds: dict[str, tuple
     w = Window.partitionBy("source", "metric").orderBy("home")
     before = F.flatten(F.reverse(F.collect_list("tail").over(w.rowsBetween(-few, -1))))
     after = F.flatten(F.collect_list("head").over(w.rowsBetween(1, few)))
-    edges = edges.select("source", "metric", "home", F.slice(before, 1, few).alias("before"), F.slice(after, 1, few).alias("after"))
-    around = [
-        edges.select("source", "metric", F.col("home").alias("seg"), F.lit(None).cast("date").alias("day"), F.explode(side).alias("e"), F.lit(part).alias("part")).select("source", "metric", "seg", "day", "e.day_no", "e.value", "part")
-        for side, part in (("before", -1), ("after", 2))
-    ]
+    marked = lambda side, part: F.transform(F.slice(side, 1, few), lambda e: F.struct(e["day_no"].alias("day_no"), e["value"].alias("value"), F.lit(part).alias("part")))
+    edges = edges.select("source", "metric", F.col("home").alias("seg"), before.alias("b"), after.alias("a"))
+    around = edges.select("source", "metric", "seg", F.explode(F.concat(marked("b", -1), marked("a", 2))).alias("e")).select("source", "metric", "seg", "e.*")
     halo = F.explode(F.array_distinct(F.array(*[F.floor((F.col("day_no") + h) / SEGMENT_DAYS) for h in (-HALO_DAYS, 0, HALO_DAYS)])))
-    spread = rows.select("source", "metric", halo.alias("seg"), "day", "day_no", "value", "home").select("source", "metric", "seg", "day", "day_no", "value", F.when(F.col("seg") == F.col("home"), 0).otherwise(1).alias("part"))
-    spread = spread.unionByName(around[0]).unionByName(around[1])
+    spread = rows.select("source", "metric", halo.alias("seg"), "day_no", "value", "home").select("source", "metric", "seg", "day_no", "value", F.when(F.col("seg") == F.col("home"), 0).otherwise(1).alias("part"))
+    spread = spread.unionByName(around)
     spread = spread.repartition("source", "metric", "seg").sortWithinPartitions("source", "metric", "seg")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +211,8 @@ def score_readings(df: DataFrame, source: str, day: str, bounds: dict[str, tuple
             yield _score(pdf, bounds)
 
     probs = ", ".join(f"p_{s} double" for s in STATES)
-    return spread.mapInPandas(score, f"source string, day date, metric string, value double, outside boolean, run boolean, median double, mad double, {probs}")
+    out = spread.mapInPandas(score, f"source string, day_no long, metric string, value double, outside boolean, run boolean, median double, mad double, {probs}")
+    return out.withColumn("day_no", F.date_from_unix_date(F.col("day_no").cast("int"))).withColumnRenamed("day_no", "day")
 
 
 def distrusted(scored: DataFrame) -> DataFrame:

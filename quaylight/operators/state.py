@@ -50,8 +50,9 @@ def appended_if_absent(stored: DataFrame | None, new: DataFrame, key: str, order
 
 
 def pruned(df: DataFrame, ts: str, now: Column, days: float) -> DataFrame:
-    """Rows not older than ``days`` before ``now``."""
-    return df.where(F.unix_micros(F.col(ts).cast("timestamp")) >= F.unix_micros(now.cast("timestamp")) - int(days * 86_400_000_000))
+    """Rows not older than ``days`` before ``now``; with a constant ``now`` the filter reaches the scan."""
+    seconds = F.lit(days * 86_400).cast("decimal(18,6)")
+    return df.where(F.col(ts) >= now.cast(df.schema[ts].dataType) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds))
 
 
 def non_empty(x: Column) -> Column:
