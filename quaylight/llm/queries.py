@@ -114,11 +114,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that repeat an accepted one: tbl, first_seq, seq."""
     from quaylight.llm.linkage import History, catch_up, fingerprint_kind, video_kind
 
-    out = []
-    for t, kind in (("content_seen", fingerprint_kind()), ("bili_videos", video_kind())):
-        links = catch_up(History(spark, kind), table(spark, d, t), "batch_no")
-        out.append(links.where("first_seq is not null").select(F.lit(t).alias("tbl"), "first_seq", "seq"))
-    return out[0].unionByName(out[1])
+    names = ("content_seen", "bili_videos")
+    links = catch_up(History(spark, [fingerprint_kind(names[0]), video_kind(names[1])]), [table(spark, d, t) for t in names], "batch_no")
+    return links.where("first_seq is not null").select(F.col("kind").alias("tbl"), "first_seq", "seq")
+
 
 
 @_query
