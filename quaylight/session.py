@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,9 +75,25 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder (or the open scratch folder in it) that nothing else uses."""
+    return f"{_scratch.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within, everything materialised goes to one folder that is deleted at the end: for steps whose result is written elsewhere."""
+    root = fresh_path(spark, "scratch")
+    token = _scratch.set(root)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
