@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -94,6 +95,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _scratch.reset(token)
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        # the cleaner drops the shuffles and broadcasts of the finished step once their plans are collected
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
