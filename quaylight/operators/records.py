@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,27 +176,50 @@ def suggested_thresholds(judged: DataFrame, band: str, low: str, same: Column) -
     return g.agg(F.min(F.when(F.col("rate") >= 0.5, F.col(low))).alias("candidate"), F.min(F.when(F.col("rate") >= 0.9, F.col(low))).alias("strong"))
 
 
+def first_heads(order: list, titles: list[str], threshold: float) -> list:
+    """For each title the order value of the first head similar enough, else its own.
+
+    The matching-blocks ratio is at most twice the shared characters over both lengths, so heads under that bound are
+    passed over; shared characters are counted through postings of the heads' characters.
+    """
+    heads: list[tuple] = []
+    lengths = array("l")
+    postings: dict[tuple[str, int], array] = defaultdict(lambda: array("l"))
+    known: dict[str, object] = {}
+    out = []
+    for o, s in zip(order, titles):
+        if s not in known:
+            count: Counter = Counter()
+            tokens = []
+            for c in s:
+                tokens.append((c, count[c]))
+                count[c] += 1
+            near: list[int] = []
+            if heads:
+                lists = [np.frombuffer(postings[t], dtype="l") for t in tokens if t in postings]
+                shared = np.bincount(np.concatenate(lists), minlength=len(heads)) if lists else np.zeros(len(heads), int)
+                del lists  # the postings can't grow while they are viewed
+                near = np.nonzero(2 * shared >= threshold * (np.array(lengths) + len(s)) - 1e-9)[0].tolist()
+            known[s] = next((heads[j][0] for j in near if SequenceMatcher(None, heads[j][1], s).ratio() >= threshold), o)
+            if known[s] == o:
+                for t in tokens:
+                    postings[t].append(len(heads))
+                heads.append((o, s))
+                lengths.append(len(s))
+        out.append(known[s])
+    return out
+
+
 def merged_by_title(df: DataFrame, group: str, order: str, title: str, threshold: float = 0.65) -> DataFrame:
     """Rows with ``head``: the order value of the first row of their group whose title is similar enough, taken in order.
 
     A group is one task's work: the rule compares with heads in order.  Titles of one group are bounded by what a
-    category holds; equal titles are decided once.
+    category holds; equal titles are decided once, and only heads that share enough characters are compared.
     """
-    from difflib import SequenceMatcher
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        heads: list[tuple[int, str]] = []
-        known: dict[str, int] = {}
-        out = []
-        for o, t in zip(pdf[order], pdf[title].fillna("")):
-            s = "".join(t.split()).lower()
-            if s not in known:
-                known[s] = next((h for h, u in heads if SequenceMatcher(None, u, s).ratio() >= threshold), o)
-                if known[s] == o:
-                    heads.append((o, s))
-            out.append(known[s])
-        return pdf.assign(head=out)
+        return pdf.assign(head=first_heads(pdf[order].tolist(), ["".join(t.split()).lower() for t in pdf[title].fillna("")], threshold))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.groupBy(group).applyInPandas(run, f"{kinds}, head {df.schema[order].dataType.simpleString()}")

@@ -70,3 +70,17 @@ def test_thresholds_and_titles(spark):
     assert tuple(R.suggested_thresholds(df, "band", "low", F.col("same")).first()) == (0.8, 0.9)
     t = spark.createDataFrame([("c", 1, "great offer today"), ("c", 2, "great offer todax"), ("c", 3, "else"), ("d", 4, "great offer today"), ("c", 5, None)], "cat string, n long, title string")
     assert {r.n: r["head"] for r in R.merged_by_title(t, "cat", "n", "title").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_first_heads_equal_full_comparison():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    titles = ["".join(rng.choice("abcdefg汉字") for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    heads, want = [], []
+    for i, t in enumerate(titles):
+        j = next((h for h, u in heads if SequenceMatcher(None, u, t).ratio() >= 0.65), i)
+        heads += [(i, t)] if j == i else []
+        want.append(j)
+    assert R.first_heads(list(range(200)), titles, 0.65) == want
