@@ -148,6 +148,24 @@ def bucket_pairs(rows: DataFrame, block: int | None = None) -> DataFrame:
     return p.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a < b").distinct()
 
 
+def bucket_pairs_from(rows: DataFrame, block: int | None = None) -> DataFrame:
+    """Distinct pairs a, b of different ids that share a key, a of the rows marked ``open``, of rows (key, id, open).
+
+    As in ``bucket_pairs`` no task holds a bucket: blocks of open rows meet blocks of all rows.  Buckets without an open row end before that.
+    """
+    block = block or BLOCK
+    w = Window.partitionBy("key")
+    opened = F.sum(F.col("open").cast("long"))
+    n = rows.select("key", "id", "open", F.count("*").over(w).alias("n"), opened.over(w).alias("m"), (F.row_number().over(w.orderBy(F.desc("open"), "id")) - 1).alias("rn")).where("n > 1 and m > 0")
+    own = F.floor(F.col("rn") / block).cast("int")
+    last = lambda c: F.floor((F.col(c) - 1) / block).cast("int")
+    # open rows come first, so their numbers among themselves are their numbers among all
+    left = n.where("open").select("key", "id", F.lit(True).alias("left"), own.alias("i"), F.explode(F.sequence(F.lit(0), last("n"))).alias("j"))
+    right = n.select("key", "id", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), last("m"))).alias("i"), own.alias("j"))
+    g = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list(F.when(F.col("left"), F.col("id"))).alias("l"), F.collect_list(F.when(~F.col("left"), F.col("id"))).alias("r"))
+    return g.select(F.explode("l").alias("a"), "r").select("a", F.explode("r").alias("b")).where("a <> b").distinct()
+
+
 def agreement(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Bits in which two sketches agree."""
     return F.lit(SKETCH_BITS) - F.bit_count(a0.bitwiseXOR(b0)) - F.bit_count(a1.bitwiseXOR(b1))

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaylight.llm import minhash as M
@@ -183,7 +183,7 @@ def _bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """id, digest (two longs), length, closing, item, bands of each text: one pass, no shuffle."""
+    """id, digest (two longs), closing, item, bands of each text: one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -194,11 +194,11 @@ def _read(docs: DataFrame) -> DataFrame:
                 bands = _bands(*word_shingles([t or "" for t in texts]))
                 dig = np.frombuffer(b"".join(hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), pa.array([len(t or "") for t in texts], pa.int32()), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))],
-                    names=["id", "d0", "d1", "chars", "closing", "item", "bands"],
+                    [b.column(0), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))],
+                    names=["id", "d0", "d1", "closing", "item", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id long, d0 long, d1 long, chars int, closing string, item string, bands array<long>")
+    return docs.mapInArrow(run, "id long, d0 long, d1 long, closing string, item string, bands array<long>")
 
 
 def _vocabulary(docs: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _vocabulary(docs: DataFrame) -> DataFrame:
 
 def _aligned(short: pd.Series, long: pd.Series) -> pd.Series:
     """Whether the first text of a pair is a near copy of the second and ends early, unfinished."""
-    return pd.Series([x is not None and y is not None and _alike(x, y) and ends_early(x, y) for x, y in zip(short.tolist(), long.tolist())], dtype=bool)
+    return pd.Series([x is not None and y is not None and ends_early(x, y) and _alike(x, y) for x, y in zip(short.tolist(), long.tolist())], dtype=bool)
 
 
 def _alike(x: str, y: str) -> bool:
@@ -259,15 +259,11 @@ def find_cut(df: DataFrame, key: str, text: str, kind: str | None = None) -> Dat
     begun = vocab.where(F.col("kind").isin(TAG, NAME) & (F.length("item") > 1)).select("kind", F.explode(F.expr("transform(sequence(1, length(item) - 1), i -> substring(item, 1, i))")).alias("item")).distinct()
     words = judged.where((F.col("kind") != LINK) & F.col("n").isNull()).join(begun, ["kind", "item"], "left_semi").select("id", F.lit("closing word").alias("reason"))
     # near copies, between one representative of each exact copy
-    reps = seen.groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("closing").alias("closing"), F.first("chars").alias("chars"))
-    # Only a link, tag or name can be decided by a copy: others are whole or cut by themselves.  In each
-    # bucket such a text is held against the longest one and the next longer one, so pairs are as many as rows.
+    reps = seen.groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("closing").alias("closing"))
+    # Only a link, tag or name can be decided by a copy: others are whole or cut by themselves.  Such a text
+    # is held against every other text of its buckets.
     open_ = F.col("closing").isin(LINK, TAG, NAME)
-    w = Window.partitionBy("key").orderBy(F.desc("chars"), "rep")
-    rows = reps.select(F.explode("bands").alias("key"), "rep", "chars", open_.alias("open"))
-    rows = rows.select("rep", "open", F.array(F.first("rep").over(w), F.lag("rep").over(w)).alias("longer")).where("open")
-    pairs = rows.select(F.col("rep").alias("a"), F.explode("longer").alias("b")).where("b is not null and a <> b").distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(M.bucket_pairs_from(reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), open_.alias("open"))), "pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     t = docs.select("id", "text").join(need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     both = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")

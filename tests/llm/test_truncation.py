@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quaylight.llm import minhash as M
 from quaylight.llm import truncation as C
 
 WHOLE = [
@@ -77,6 +78,23 @@ def test_evidence(spark):
     assert found(spark, rows + cut + [(1100, full, "post"), (1101, None, "post"), (1006, cut[-1][1], "post")]) == {1001, 1002, 1003, 1004, 1005, 1006}
 
 
+def test_every_copy_of_a_bucket_is_met(spark):
+    """In every bucket the source of a cut copy is neither the longest text nor the next longer one."""
+    body = corpus()[0][1].split("\n\n")[0]
+    link = "\nhttps://q.example/kappa/778899"
+    longer = [(2100 + i, f"{body}\nhttps://q.example/kappa/{5500112233 + i}", "post") for i in range(12)]
+    between = [(2200 + i, f"{body}\nhttps://q.example/kappa/{12340 + i}", "post") for i in range(12)]
+    assert found(spark, [*corpus(), *longer, *between, (2001, body + link, "post"), (2002, body + link[:-3], "post")]) == {2002}
+
+
+def test_pairs_from_open_rows(spark):
+    rng = random.Random(3)
+    rows = list({(rng.randint(0, 5), i % 60, i % 3 == 0) for i in range(180)})
+    want = {(a, b) for k, a, o in rows for m, b, _ in rows if o and k == m and a != b}
+    df = spark.createDataFrame(rows, "key long, id long, open boolean")
+    assert sorted(tuple(r) for r in M.bucket_pairs_from(df, 4).collect()) == sorted(want)
+
+
 def test_empty(spark):
     assert found(spark, []) == set()
 
