@@ -3,14 +3,15 @@
 Every text's end is read for how it closes: with a sentence mark, bracket, code fence or
 emoji it is whole; with an unfinished word, sentence, bracket, fence or character it is cut,
 whether or not dots were put after the break.  Three ways of closing can't be
-judged alone: a link, a tag, a signature.  Two kinds of evidence decide them.
+judged alone: a link, a tag, a signature.  Two kinds of evidence decide them; the second
+also decides ends that look whole.
 
 * Closing-word terminality: tags, names and link shapes that stand inside texts are
   complete.  A last tag or name that never stands complete and is the beginning of one that does,
   or a last link of a shape that links inside texts practically never have, is unfinished.
 * Near copies: texts that share bands of MinHash over five-word shingles and are alike
   by 0.8 or more are aligned.  A copy whose end aligns with the inside of the other ends early; it is
-  cut if the other goes on within the word or link.
+  cut if the other goes on within the word, number or link, even if it closes with a stop.
 
 Defined results: null, empty and blank texts are whole; short remarks are whole; exact
 copies share their result; repeated rows give one; texts are read whole, of any length; an
@@ -38,6 +39,8 @@ BANDS, ROWS = 16, 6
 K = BANDS * ROWS
 WORDS = 5
 LIKE = 0.8
+#: Characters that an end must share with a copy to be laid on it.
+LEAST_TAIL = 12
 #: Share of complete links below which a shape counts as unfinished.
 RARE_SHAPE = 0.005
 #: A text of at most this many characters without a sentence mark inside is a remark.
@@ -183,7 +186,7 @@ def _bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """id, digest (two longs), closing, item, bands of each text: one pass, no shuffle."""
+    """id, digest (two longs), closing, item, whether a copy can show that it goes on, bands of each text: one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -194,11 +197,11 @@ def _read(docs: DataFrame) -> DataFrame:
                 bands = _bands(*word_shingles([t or "" for t in texts]))
                 dig = np.frombuffer(b"".join(hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))],
-                    names=["id", "d0", "d1", "closing", "item", "bands"],
+                    [b.column(0), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.array([e[0] != CUT and e[1] != "remark" and may_go_on(t) for t, e in zip(texts, ends)], pa.bool_()), pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))],
+                    names=["id", "d0", "d1", "closing", "item", "open", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id long, d0 long, d1 long, closing string, item string, bands array<long>")
+    return docs.mapInArrow(run, "id long, d0 long, d1 long, closing string, item string, open boolean, bands array<long>")
 
 
 def _vocabulary(docs: DataFrame) -> DataFrame:
@@ -225,23 +228,38 @@ def _alike(x: str, y: str) -> bool:
     return k >= LIKE * (len(s) + len(t) - k)
 
 
+def may_go_on(text: str | None) -> bool:
+    """Whether a text ends so that ``ends_early`` can hold against some copy: all others needn't be compared."""
+    s = _bare(text or "")
+    return len(s) >= LEAST_TAIL and (s[-1].isalnum() or s[-1] in "-_/.#")
+
+
+def _bare(text: str) -> str:
+    return _TRAIL.sub("", _BREAK_MARK.sub("", _TRAIL.sub("", text)))
+
+
 def ends_early(short: str, long: str) -> bool:
-    """Whether the end of ``short`` aligns with the inside of ``long`` and stops within a word or link there."""
-    s = _TRAIL.sub("", _BREAK_MARK.sub("", _TRAIL.sub("", short)))
-    t = _TRAIL.sub("", long)
-    for n in (40, 24, 12):
-        tail = s[-n:]
-        if len(tail) < n:
-            continue
-        at = t.rfind(tail, 0, min(len(t), len(s) + 200))
-        if at < 0:
-            continue
-        nxt = at + n
-        if nxt >= len(t):
-            return False
-        c, d = t[nxt - 1], t[nxt]
-        return not d.isspace() and d not in STOPS + CLOSERS + "，,；;：:、" and (c.isalnum() or c in "-_/.#") and (d.isalnum() or d in "-_/.")
-    return False
+    """Whether the end of ``short`` aligns with the inside of ``long`` and stops within a word, number or link there.
+
+    The end is laid where most characters before it agree; of several such places, where it stands in ``short``.
+    After a stop only a digit or a small letter goes on: ``3.`` of ``3.5``, ``example.`` of ``example.org``.
+    """
+    s, t = _bare(short), _TRAIL.sub("", long)
+    if len(s) < LEAST_TAIL or s[-LEAST_TAIL:] not in t:
+        return False
+    lo, hi = LEAST_TAIL, min(len(s), len(t))
+    while lo < hi:
+        n = (lo + hi + 1) // 2
+        lo, hi = (n, hi) if s[-n:] in t else (lo, n - 1)
+    tail, own = s[-lo:], len(s) - lo
+    places = [x for x in (t.rfind(tail, 0, len(s)), t.find(tail, own)) if x >= 0]
+    nxt = min(places, key=lambda x: abs(x - own)) + lo
+    if nxt >= len(t):
+        return False
+    c, d = t[nxt - 1], t[nxt]
+    if c == "." and not _LINK_END.search(s[s.rfind("\n") + 1 :]):
+        return t[nxt - 2].isascii() and t[nxt - 2].isalnum() and d.isascii() and (d.isdigit() or d.islower())
+    return not d.isspace() and d not in STOPS + CLOSERS + "，,；;：:、" and (c.isalnum() or c in "-_/.#") and (d.isalnum() or d in "-_/.")
 
 
 def find_cut(df: DataFrame, key: str, text: str, kind: str | None = None) -> DataFrame:
@@ -259,17 +277,16 @@ def find_cut(df: DataFrame, key: str, text: str, kind: str | None = None) -> Dat
     begun = vocab.where(F.col("kind").isin(TAG, NAME) & (F.length("item") > 1)).select("kind", F.explode(F.expr("transform(sequence(1, length(item) - 1), i -> substring(item, 1, i))")).alias("item")).distinct()
     words = judged.where((F.col("kind") != LINK) & F.col("n").isNull()).join(begun, ["kind", "item"], "left_semi").select("id", F.lit("closing word").alias("reason"))
     # near copies, between one representative of each exact copy
-    reps = seen.groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("closing").alias("closing"))
-    # Only a link, tag or name can be decided by a copy: others are whole or cut by themselves.  Such a text
-    # is held against every other text of its buckets.
-    open_ = F.col("closing").isin(LINK, TAG, NAME)
-    pairs = materialize(M.bucket_pairs_from(reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), open_.alias("open"))), "pairs")
+    reps = seen.groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.bool_or("open").alias("open"))
+    # A text that isn't cut by itself may be shown to be by a copy, also if it looks whole.  It is held
+    # against every other text of its buckets.
+    pairs = materialize(M.bucket_pairs_from(reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "open")), "pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     t = docs.select("id", "text").join(need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     both = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")
     early = both.where(F.pandas_udf(_aligned, "boolean")(F.col("ta"), F.col("tb"))).select(F.col("a").alias("id")).distinct()
     early = seen.join(early, "id", "left_semi").select("d0", "d1").distinct()
-    early = seen.where(open_).join(early, ["d0", "d1"], "left_semi").select("id", F.lit("copy goes on").alias("reason"))
+    early = seen.where("open").join(early, ["d0", "d1"], "left_semi").select("id", F.lit("copy goes on").alias("reason"))
     return cut.unionByName(links).unionByName(words).unionByName(early).groupBy("id").agg(F.min("reason").alias("reason")).select(F.col("id").alias(key), "reason")
 
 

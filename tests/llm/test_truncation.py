@@ -87,6 +87,25 @@ def test_every_copy_of_a_bucket_is_met(spark):
     assert found(spark, [*corpus(), *longer, *between, (2001, body + link, "post"), (2002, body + link[:-3], "post")]) == {2002}
 
 
+def test_a_stop_within_a_number_or_host_is_no_end(spark):
+    body = corpus()[0][1].split("\n\n")[0]
+    rows = corpus()
+    for i, (head, rest) in enumerate([("It rose to 3.", "5 million."), ("It needs v2.", "1 at least."), ("Ask at example.", "org today."), ("That is all.", " And more of it."), ("That is all.", "Next one."), ("这就完成了.", "下一步。")]):
+        own = " ".join(f"{w}{i}" for w in body.split())
+        rows += [(3000 + i, f"{own} {head}{rest}", "post"), (4000 + i, f"{own} {head}", "post")]
+    assert found(spark, rows) == {4000, 4001, 4002}
+
+
+def test_the_whole_copy_is_searched():
+    t = "The quick brown fox jumps over the lazy dog and then it leaves for good and ever."
+    assert C.ends_early(t[:50] if t[50].isalnum() and t[49].isalnum() else t[:49], "An opening that the other lacks. " * 20 + t)
+    # the same tail again: at the very end, and far before
+    link = "see https://q.example/kappa/7788"
+    assert C.ends_early("One line. " + link, "One line. " + link + "99 now. Another line. " + link)
+    assert not C.ends_early("One line. " + link + "99 now. Another line. " + link, "One line. " + link + "99 now. Another line. " + link + " it is.")
+    assert C.ends_early("a" * 5000 + "b" * 5000, "a" * 5000 + "b" * 9000) and not C.ends_early("b" * 50000, "b" * 50000)
+
+
 def test_pairs_from_open_rows(spark):
     rng = random.Random(3)
     rows = list({(rng.randint(0, 5), i % 60, i % 3 == 0) for i in range(180)})
