@@ -57,7 +57,7 @@ def seeds_of(lines: list[str], threshold: float = 0.85) -> list[int]:
 
 
 def clustered(df: DataFrame, day: str, source: str, order: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """day, cluster_id, title, lines, sources: clusters of each day's lines."""
+    """day, cluster_id, title, lines, sources: clusters of each day's lines; lines without a day are a group of their own, whose day is null."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
@@ -69,5 +69,5 @@ def clustered(df: DataFrame, day: str, source: str, order: str, text: str, thres
             out.append((pdf["day"][0], hashlib.sha256(letters.encode()).hexdigest()[:16] if len(letters) >= 8 else letters, title, len(g), g["source"].nunique()))
         return pd.DataFrame(out, columns=["day", "cluster_id", "title", "lines", "sources"])
 
-    rows = df.select(F.col(day).alias("day"), F.col(source).alias("source"), F.col(order).alias(order), F.col(text).alias("text")).where("text is not null and day is not null")
+    rows = df.select(F.col(day).alias("day"), F.col(source).alias("source"), F.col(order).alias(order), F.col(text).alias("text")).where("text is not null")
     return rows.groupBy("day").applyInPandas(run, f"day {df.schema[day].dataType.simpleString()}, cluster_id string, title string, lines long, sources long")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quaylight.functions.coerce import ratio, score_to_ten, trend_mark
 from quaylight.functions.vectors import cosine
 from quaylight.operators import clusters, dedup, intervals, series, sessions
+from quaylight.operators.scan import LOCAL_ZONE
+from quaylight.operators.timestamps import normalize_times
 from quaylight.plans.registry import query
 from quaylight.sources.tables import table
 
@@ -230,10 +232,11 @@ def local_day_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("topic_clusters")
 def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of one day that several sources report, clustered in order."""
-    c = table(spark, d, "media_candidates").select("seq", "group_name", "context", "timestamp")
-    day = F.regexp_extract("timestamp", r"^(\d{4}-\d{2}-\d{2})", 1)
-    c = c.where("length(context) between 15 and 120").select("seq", "group_name", "context", F.nullif(day, F.lit("")).alias("day"))
+    """Lines of one local day that several sources report, clustered in order; lines whose time names no instant are a group with a null day."""
+    c = table(spark, d, "media_candidates").select("seq", "group_name", "context", "timestamp").where("length(context) between 15 and 120")
+    c = normalize_times(c, "timestamp", "group_name", table(spark, d, "source_clock"))
+    day = F.to_date(F.from_utc_timestamp(F.timestamp_micros("utc_us"), LOCAL_ZONE)).cast("string")
+    c = c.select("seq", "group_name", "context", day.alias("day"))
     return clusters.clustered(c, "day", "group_name", "seq", "context")
 
 

@@ -162,6 +162,17 @@ def test_clusters_equal_full_comparison():
     assert clusters.seeds_of(lines) == want
 
 
+def test_clusters_take_every_form_of_time(spark, tmp_path):
+    from quaylight.plans import core_queries
+
+    times = ["2024-01-02 01:00:00", "1704128400", "Tue, 02 Jan 2024 01:00:00 +0800", "2024年1月2日 01:00", "20240102010000", "2024/01/02 01:00", "2024-01-01T17:00:00Z", "2024-01-01 12:00:00", "yesterday", None]
+    rows = [(i, f"g{i}", "A line that several groups report", t) for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "seq long, group_name string, context string, timestamp string").write.parquet(str(tmp_path / "media_candidates.parquet"))
+    spark.createDataFrame([(f"g{i}", "Asia/Shanghai", "ymd") for i in range(10)], "source string, zone string, date_order string").write.parquet(str(tmp_path / "source_clock.parquet"))
+    got = sorted(((r.day, r.lines, r.sources) for r in core_queries()["topic_clusters"](spark, str(tmp_path)).collect()), key=str)
+    assert got == [("2024-01-01", 1, 1), ("2024-01-02", 7, 7), (None, 2, 2)]
+
+
 def test_exact_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(5)
