@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quaylight.functions import identity, markup
 from quaylight.operators.dedup import first_owner
+from quaylight.session import materialize
 
 
 def gate_decisions(new: DataFrame, seen: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,6 +32,31 @@ def gate_decisions(new: DataFrame, seen: DataFrame, key: str, text: str) -> Data
     return j.select(F.col("k").alias(key), F.col("h").isNotNull().alias("skip"), F.coalesce("h.reason", F.lit("")).alias("reason"), F.col("h.owner").alias("owner"))
 
 
+def gate_decisions_in_order(df: DataFrame, key: str, text: str, order: list[str], most_rounds: int = 60) -> DataFrame:
+    """As ``gate_decisions``, for every post of one table against those before it in ``order`` (ties excluded) that were delivered.
+
+    A post that is skipped doesn't register its keys.  Owners are first those of all posts, then of the
+    posts that the last round delivered, until no decision changes; what holds then is the outcome of one post after another.
+    """
+    rows = df.select(F.col(key).alias("k"), F.struct(*order).alias("at"), identity.is_bare_link(F.col(text)).alias("bare"), F.explode(identity.seen_keys_col(F.col(text))).alias("key"))
+    rows = materialize(rows.groupBy("k", "key").agg(F.min("at").alias("at"), F.bool_or("bare").alias("bare")), "keys")
+    reason = F.when(F.col("key").startswith("text:"), "text").otherwise("url")
+    best, before = None, None
+    for _ in range(most_rounds):
+        delivered = rows if best is None else rows.join(best, "k", "left_anti")
+        own = first_owner(delivered.select("key", F.col("k").alias("owner"), F.col("at").alias("order")), "key", ["order"]).select("key", "owner", "order")
+        hit = rows.join(own, "key").where((F.col("key").startswith("text:") | F.col("bare")) & (F.col("order") < F.col("at")) & (F.col("owner") != F.col("k")))
+        best = materialize(hit.groupBy("k").agg(F.min(F.struct(reason.alias("reason"), F.col("order"), F.col("owner"))).alias("h")), "hits")
+        now = tuple(best.agg(F.count("*"), F.sum(F.xxhash64("k", "h").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("gate decisions did not settle")
+    j = df.select(F.col(key).alias("k")).distinct().join(best, "k", "left")
+    return j.select(F.col("k").alias(key), F.col("h").isNotNull().alias("skip"), F.coalesce("h.reason", F.lit("")).alias("reason"), F.col("h.owner").alias("owner"))
+
+
 def resolved_targets(signals: DataFrame, target: str, *tables: DataFrame) -> DataFrame:
     """Each signal with ``table_no`` and ``id``: of the first table that has the target as an id, or as the title of just one row.
 

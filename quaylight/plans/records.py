@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.functions import identity, jsontext, markup
+from quaylight.functions import jsontext, markup
 from quaylight.operators import records
 from quaylight.plans.registry import query
 from quaylight.sources.tables import table
@@ -13,11 +13,9 @@ from quaylight.sources.tables import table
 
 @query("gate_decisions")
 def gate_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each later document would be held back, given the earlier ones."""
+    """Whether each document would be held back, given all that were delivered before it."""
     docs = table(spark, d, "documents").select("doc_id", "text", "published_at")
-    mid = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
-    old = docs.where(F.col("doc_id") <= mid).select(F.explode(identity.seen_keys_col(F.col("text"))).alias("key"), F.col("doc_id").alias("owner"), F.struct("published_at", "doc_id").alias("order"))
-    return records.gate_decisions(docs.where(F.col("doc_id") > mid), old, "doc_id", "text")
+    return records.gate_decisions_in_order(docs, "doc_id", "text", ["published_at", "doc_id"])
 
 
 @query("resolved_targets", """

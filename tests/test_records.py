@@ -14,6 +14,39 @@ def test_gates(spark):
     assert got == {10: (True, "text", 1), 11: (True, "url", 2), 12: (False, "", None), 13: (False, "", None), 14: (False, "", None)}
 
 
+def test_gate_judges_every_document(spark, tmp_path):
+    from datetime import datetime
+
+    from quaylight.plans import core_queries
+
+    word = lambda c: f"这是一段足够长的文字内容用来计算指纹值再多一些字{c}"
+    texts = {1: word("甲"), 2: "new", 3: word("甲") + "！", 4: None, 5: "https://a.b/c", 6: word("乙"), 7: word("乙"), 8: "看 https://a.b/c", 9: "一段完整的评论当然总是要送达的 https://a.b/c", 10: word("乙")}
+    day = {i: datetime(2024, 1, i) for i in texts} | {6: datetime(2024, 1, 20)}  # comes last
+    spark.createDataFrame([(i, t, day[i]) for i, t in texts.items()], "doc_id long, text string, published_at timestamp").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.skip, r.reason, r.owner) for r in core_queries()["gate_decisions"](spark, str(tmp_path)).collect()}
+    held = {3: (True, "text", 1), 8: (True, "url", 5), 6: (True, "text", 7), 10: (True, "text", 7)}
+    assert got == {i: held.get(i, (False, "", None)) for i in texts}
+
+
+def test_gate_equals_one_post_after_another(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(["这是一段足够长的文字内容用来计算指纹值再多一些字" + rng.choice("甲乙丙丁戊")] * rng.randint(0, 1) + [f"https://a.b/{rng.randint(0, 12)}" for _ in range(rng.randint(0, 3))]) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    bare = {r.id: r.b for r in df.select("id", identity.is_bare_link(F.col("text")).alias("b")).collect()}
+    owner, want = {}, {}
+    for i, t in enumerate(texts):
+        keys = identity.seen_keys(t)
+        hits = [("text" if k.startswith("text:") else "url", owner[k]) for k in keys if k in owner and (k.startswith("text:") or bare[i])]
+        want[i] = (True, *min(hits)) if hits else (False, "", None)
+        if not hits:
+            for k in keys:
+                owner.setdefault(k, i)
+    assert {r.id: (r.skip, r.reason, r.owner) for r in R.gate_decisions_in_order(df, "id", "text", ["id"]).collect()} == want
+    assert any(w[0] for w in want.values())
+
+
 def test_targets(spark):
     a = spark.createDataFrame([("a1", "T"), ("a2", "T"), ("a3", "U")], "id string, title string")
     b = spark.createDataFrame([("b1", "T"), ("a1", "x"), ("b2", "U")], "id string, title string")
