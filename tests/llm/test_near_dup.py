@@ -127,3 +127,18 @@ def test_classes(spark, rows):
     assert all(got[a][0] == got[b][0] for a, b in pairs)
     alone = set(got) - {i for p in pairs for i in p}
     assert all(got[i] == (i, 0) for i in alone)
+
+
+def test_recall_of_the_bands_at_the_threshold():
+    """Pairs of sets alike by exactly 0.6 share a band but for a few in a thousand."""
+    import numpy as np
+
+    from quaylight.llm import minhash
+
+    rng, n = np.random.default_rng(7), 2000
+    sets = []
+    for _ in range(n):
+        h = rng.integers(0, 2**64, 250, dtype=np.uint64)
+        sets += [h[:200], np.concatenate([h[:150], h[200:]])]
+    keys = minhash.band_keys(minhash.signatures(np.concatenate(sets), np.arange(2 * n + 1) * 200))
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.995
