@@ -216,11 +216,12 @@ def score_readings(df: DataFrame, source: str, day: str, bounds: dict[str, tuple
 
 
 def distrusted(scored: DataFrame) -> DataFrame:
-    """Readings the model distrusts that also fail a stated rule.
+    """Readings the model distrusts that also fail a stated rule; a run is one whatever the model makes of it.
 
     The rules: outside the hard bounds; further than ``MAD_FACTOR`` median distances
     from the median (where that distance isn't 0); one of ``RUN`` equal readings in a row.
+    The model sees a segment and its halo only, while a run goes on over a gap of any length.
     Floating noise in the product decides nothing: a margin of 1e-9 is on the side of trust.
     """
     far = (F.col("mad") > 0) & (F.abs(F.col("value") - F.col("median")) > MAD_FACTOR * F.col("mad") + 1e-9)
-    return scored.where((F.col("p_normal") < SURE) & (F.col("outside") | far | F.col("run")))
+    return scored.where(((F.col("p_normal") < SURE) & (F.col("outside") | far)) | F.col("run"))

@@ -91,3 +91,10 @@ def test_a_run_across_far_segments(spark):
     days = [0, 300, 700, 1000, 1400]
     rows = [("a", D0 + dt.timedelta(days=d), 50.0) for d in days] + [("b", D0 + dt.timedelta(days=d), 50.0 + (d == 700)) for d in days]
     assert found(spark, rows) == {("a", D0 + dt.timedelta(days=d)) for d in days}
+
+
+def test_a_run_counts_whatever_the_model_makes_of_it(spark):
+    """The reading beyond a long gap has one equality as evidence, so the model may be sure of it."""
+    rows = [(1, 0.99, True, False), (2, 0.99, False, False), (3, 0.5, False, True), (4, 0.99, False, True)]
+    scored = spark.createDataFrame([(i, p, run, out, 60.0, 60.0, 2.0) for i, p, run, out in rows], "day int, p_normal double, run boolean, outside boolean, value double, median double, mad double")
+    assert {r.day for r in distrusted(scored).collect()} == {1, 3}
