@@ -9,28 +9,29 @@ signature is the running minimum of contiguous slices.
 Candidates pass a sketch of one bit a coordinate, then an exact check.
 
 Exact copies are folded into one representative first, so a text repeated in a third of all
-rows is one row from there on.  A band's bucket, however full, is compared in pairs of
-blocks of at most ``BLOCK`` rows, each pair of blocks a group of its own: all pairs are seen
-and no task holds a bucket.
+rows is one row from there on.  Buckets are counted first (partial counts, then one row a key); the
+rows of a full one get blocks by a hash of their id, about ``BLOCK`` rows each, and every pair of
+blocks is a group of its own: all pairs are seen, no task sorts or holds a bucket.  Sketches travel
+with the rows, so far pairs end inside their group and never reach a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaylight.session import materialize
 
 D = 1 << 20
-#: A pair alike by 0.6 shares no band with probability (1 - 0.6 ** 4) ** 48 = 0.0013.
-BANDS, ROWS = 48, 4
+#: A pair alike by 0.6 shares no band with probability (1 - 0.6 ** 4) ** 80 = 0.000015.
+BANDS, ROWS = 80, 4
 K = BANDS * ROWS
 SKETCH_BITS = 128
 BLOCK = 128
@@ -95,9 +96,9 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def least_agreement(similarity: float) -> int:
-    """Sketch bits that texts of that similarity share but for four standard errors."""
+    """Sketch bits that texts of that similarity share but for five standard errors (3 in ten million)."""
     p = (1 + similarity) / 2
-    return int(SKETCH_BITS * p - 4 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
+    return int(SKETCH_BITS * p - 5 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
 
 
 def sign(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,17 +136,38 @@ def signed_rows(rows: DataFrame, text: str, bands: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def bucket_pairs(rows: DataFrame, block: int | None = None) -> DataFrame:
-    """Distinct pairs a < b of ids that share a key, of rows (key, id)."""
+def _numbered(rows: DataFrame, block: int, opened: bool) -> DataFrame:
+    """Rows of keys that several hold, with their block of it: own (of ``blocks``); with ``opened``, blocks among the open rows too.
+
+    Keys are counted by partial aggregation; a row's block is a hash of its id, so no window sorts a key.  The
+    join of rows with counts splits a hot key by the adaptive skew handling, since the side of the counts has one row a key.
+    """
+    aggs = [F.count("*").alias("n")] + ([F.count_if("open").alias("m")] if opened else [])
+    counts = rows.groupBy("key").agg(*aggs).where("n > 1 and m > 0" if opened else "n > 1")
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    n = rows.join(counts, "key").withColumn("blocks", blocks("n")).withColumn("hash", F.xxhash64("id"))
+    if opened:
+        n = n.withColumn("open_blocks", blocks("m"))
+    return n
+
+
+def _block(c: str) -> Column:
+    return F.pmod("hash", F.col(c)).cast("int")
+
+
+def bucket_pairs(rows: DataFrame, block: int | None = None, least: int | None = None) -> DataFrame:
+    """Distinct pairs a < b of ids that share a key, of rows (key, id) or (key, id, s0, s1).
+
+    With sketches s0, s1 only pairs that agree in ``least`` bits; a row without sketch (null) agrees with all.
+    """
     block = block or BLOCK
-    w = Window.partitionBy("key")
-    n = rows.select("key", "id", F.count("*").over(w).alias("n"), (F.row_number().over(w.orderBy("id")) - 1).alias("rn")).where("n > 1")
-    own = F.floor(F.col("rn") / block).cast("int")
-    last = F.floor((F.col("n") - 1) / block).cast("int")
-    n = n.select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
-    n = n.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "id")).alias("l"))
+    sk = [c for c in ("s0", "s1") if c in rows.columns]
+    n = _numbered(rows, block, False).select("key", "id", *sk, _block("blocks").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    n = n.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "id", *sk)).alias("l"))
     p = n.select("i", "j", F.explode("l").alias("x"), "l").select("i", "j", "x", F.explode("l").alias("y"))
     p = p.where("(i = j and x.id < y.id) or (i < j and x.own = i and y.own = j)")
+    if sk and least is not None:
+        p = p.where(F.coalesce(agreement(F.col("x.s0"), F.col("x.s1"), F.col("y.s0"), F.col("y.s1")) >= least, F.lit(True)))
     return p.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a < b").distinct()
 
 
@@ -154,15 +176,10 @@ def bucket_pairs_from(rows: DataFrame, block: int | None = None) -> DataFrame:
 
     As in ``bucket_pairs`` no task holds a bucket: blocks of open rows meet blocks of all rows.  Buckets without an open row end before that.
     """
-    block = block or BLOCK
-    w = Window.partitionBy("key")
-    opened = F.sum(F.col("open").cast("long"))
-    n = rows.select("key", "id", "open", F.count("*").over(w).alias("n"), opened.over(w).alias("m"), (F.row_number().over(w.orderBy(F.desc("open"), "id")) - 1).alias("rn")).where("n > 1 and m > 0")
-    own = F.floor(F.col("rn") / block).cast("int")
-    last = lambda c: F.floor((F.col(c) - 1) / block).cast("int")
-    # open rows come first, so their numbers among themselves are their numbers among all
-    left = n.where("open").select("key", "id", F.lit(True).alias("left"), own.alias("i"), F.explode(F.sequence(F.lit(0), last("n"))).alias("j"))
-    right = n.select("key", "id", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), last("m"))).alias("i"), own.alias("j"))
+    n = _numbered(rows, block or BLOCK, True)
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = n.where("open").select("key", "id", F.lit(True).alias("left"), _block("open_blocks").alias("i"), upto("blocks").alias("j"))
+    right = n.select("key", "id", F.lit(False).alias("left"), upto("open_blocks").alias("i"), _block("blocks").alias("j"))
     g = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list(F.when(F.col("left"), F.col("id"))).alias("l"), F.collect_list(F.when(~F.col("left"), F.col("id"))).alias("r"))
     return g.select(F.explode("l").alias("a"), "r").select("a", F.explode("r").alias("b")).where("a <> b").distinct()
 
@@ -197,16 +214,13 @@ def similarity(a: Column, b: Column, size: int = 4) -> Column:
     return run(a, b)
 
 
-def verified_links(reps: DataFrame, threshold: float, pairs: Callable[[DataFrame], DataFrame] = bucket_pairs) -> DataFrame:
+def verified_links(reps: DataFrame, threshold: float) -> DataFrame:
     """Links a < b, similarity of representatives (id, squeezed) alike beyond the threshold.
 
     ``reps`` must be materialised: it is read for signing and for the check.
     """
     signed = materialize(sign(reps, "id", "squeezed"), "signed")
-    cand = pairs(signed.select(F.explode("bands").alias("key"), "id"))
-    sk = signed.select("id", "s0", "s1")
-    cand = cand.join(sk.toDF("a", "a0", "a1"), "a").join(sk.toDF("b", "b0", "b1"), "b")
-    cand = cand.where(agreement(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")) >= least_agreement(threshold)).select("a", "b")
+    cand = bucket_pairs(signed.select(F.explode("bands").alias("key"), "id", "s0", "s1"), least=least_agreement(threshold))
     t = reps.select("id", "squeezed")
     cand = cand.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")
     return cand.select("a", "b", similarity(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -45,11 +45,11 @@ def near_copies(df: DataFrame, key: str, text: Column, threshold: float, min_cha
     """Members and links of the texts of ``df``; representatives and members are written to the shared folder."""
     rows = df.select(F.col(key).cast("long").alias("id"), squeezed_col(text).alias("squeezed")).where(F.col("id").isNotNull() & (F.length("squeezed") >= min_chars))
     rows = materialize(rows.withColumn("digest", F.unhex(F.md5("squeezed"))), "texts")
-    reps = materialize(rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("squeezed").alias("squeezed"), F.count("*").alias("copies")), "reps")
-    # a key whose rows hold different texts may stand for several of them: nodes get numbers of their own
-    nodes = reps.select(F.xxhash64("digest").alias("id"), "squeezed", "digest")
-    links = verified_links(nodes, threshold)
-    members = rows.select("id", "digest").distinct().select("id", F.xxhash64("digest").alias("rep"))
+    reps = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("squeezed").alias("squeezed"), F.count("*").alias("copies"))
+    # a key whose rows hold different texts may stand for several of them: nodes get numbers of their own, fixed once they are written
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+    links = verified_links(reps.select(F.col("node").alias("id"), "squeezed"), threshold)
+    members = rows.select("id", "digest").distinct().join(reps.select("digest", F.col("node").alias("rep")), "digest").select("id", "rep")
     return NearCopies(members, materialize(links, "links"))
 
 

@@ -71,7 +71,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that lost their end: doc_id."""
     from quaylight.llm.truncation import find_cut
 
-    return find_cut(table(spark, d, "documents"), "doc_id", "text", "kind").select("doc_id")
+    return find_cut(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+@_query
+def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Cut documents by what shows it: reason, documents."""
+    from quaylight.llm.truncation import find_cut
+
+    return find_cut(table(spark, d, "documents"), "doc_id", "text").groupBy("reason").agg(F.count("*").alias("documents"))
 
 
 @_query
@@ -80,7 +88,7 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     from quaylight.llm.truncation import find_cut, share_by_source
 
     docs = table(spark, d, "documents")
-    return share_by_source(docs, find_cut(docs, "doc_id", "text", "kind"), "doc_id", "source")
+    return share_by_source(docs, find_cut(docs, "doc_id", "text"), "doc_id", "source")
 
 
 def pii_fields(spark: SparkSession, d: str) -> DataFrame:

@@ -1,21 +1,22 @@
 """Texts that lost their end.
 
-Every text's end is read for how it closes: with a sentence mark, bracket, code fence or
-emoji it is whole; with an unfinished word, sentence, bracket, fence or character it is cut,
-whether or not dots were put after the break.  Three ways of closing can't be
-judged alone: a link, a tag, a signature.  Two kinds of evidence decide them; the second
-also decides ends that look whole.
-
-* Closing-word terminality: tags, names and link shapes that stand inside texts are
-  complete.  A last tag or name that never stands complete and is the beginning of one that does,
-  or a last link of a shape that links inside texts practically never have, is unfinished.
-* Near copies: texts that share bands of MinHash over five-word shingles and are alike
-  by 0.8 or more are aligned.  A copy whose end aligns with the inside of the other ends early; it is
-  cut if the other goes on within the word, number or link, even if it closes with a stop.
-
-Defined results: null, empty and blank texts are whole; short remarks are whole; exact
-copies share their result; repeated rows give one; texts are read whole, of any length; an
-empty table gives an empty result; a null source is a source of its own in the shares.
+Two kinds of evidence, for every text:
+
+* Near copies.  Texts that share bands of MinHash over five-word shingles and are alike by 0.8 or
+  more are aligned.  A copy whose end lies inside the other one ends early; it is cut if the other goes on within
+  the word, number or link there, whatever its own end looks like.
+* Closing-word terminality, for texts that no copy decides.  How a text closes is reduced to a class of its closing
+  word or mark (``closing``).  How often each class stands at positions inside texts is counted by cutting every text at
+  ``INSIDE`` places drawn by its hash; how often it stands at the end, by reading every text.  Ends are a
+  mixture of whole texts and of texts cut anywhere, so the rate of cut texts is the ratio of both counts in the class
+  that is most frequent inside, and a class's ends are cut as far as that rate explains them.  Tags, names and link shapes carry what is
+  known of them: whether they stand complete inside texts, or are the beginning of one that does.  Marks put after the end
+  (dots, a note, half a character) are told apart by how often cut and whole texts carry them.
+
+No rule says that a class is cut: ``PRIOR`` rows of opinion a class decide only where a table is too small to tell.
+
+Defined results: null, empty and blank texts are whole; exact copies share their result; repeated rows give one; texts
+are read whole, of any length; an empty table gives an empty result; a null source is a source of its own in the shares.
 """
 
 from __future__ import annotations
@@ -41,19 +42,25 @@ WORDS = 5
 LIKE = 0.8
 #: Characters that an end must share with a copy to be laid on it.
 LEAST_TAIL = 12
-#: Share of complete links below which a shape counts as unfinished.
-RARE_SHAPE = 0.005
-#: A text of at most this many characters without a sentence mark inside is a remark.
-REMARK_CHARS = 48
-WHOLE, CUT, LINK, TAG, NAME = "whole", "cut", "link", "tag", "name"
+#: Places at which each text is cut to count what stands inside.
+INSIDE = 3
+#: Share of cut rows of a class from which its ends count as cut.
+CUT_SHARE = 0.5
+#: Bounds of the levels of how common a link shape is among complete links.
+COMMON = (0.005, 0.05)
+#: Rows of opinion a class, cut and whole, that small tables fall back on.
+PRIOR = {"cut": (20.0, 1.0), "whole": (0.0, 20.0), "remark": (1.0, 5.0)}
+LINK, TAG, NAME = "link", "tag", "name"
 
 # Marks that close a sentence, and closers that may follow them.
 STOPS = "。.!！?？…"
 CLOSERS = "\"'”’」』》）)】]"
-_TRAIL = re.compile(r"(?:[\s­​-‏ -‮⁠-⁤﻿\x00-\x1f\x7f-\x9f]|&nbsp;|<(?:/[a-zA-Z]\w*|br ?/?)>)+$")
+_TRAIL = re.compile(r"(?:[\s\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff\x00-\x1f\x7f-\x9f]|&nbsp;|<(?:/[a-zA-Z]\w*|br ?/?)>)+$")
 _BREAK_MARK = re.compile(r"(?:\.{3,}|…+|\[(?:\.{3}|…)\]|\((?:truncated|cut off)\)|\[truncated\]|（未完(?:待续)?）)$", re.I)
 _STOP_END = re.compile(f"[{re.escape(STOPS)}][{re.escape(CLOSERS)}`*_~]*$")
+_STOP_INSIDE = re.compile(r"[。!！?？…]\W*\w|\.\s+\w|\n")
 _LINK_END = re.compile(r"https?:/?/?[^\s)\]>]*$")
+_LINK_CLOSED = re.compile(r"\]\((https?:[^\s)]*)\)$")
 _TAGS_END = re.compile(r"(?:^|\s)#([^\s#]+)$")
 _NAME_LINE = re.compile(r"^(?:--|——|—)\s+(\S.{0,40})$")
 _LINKS_IN = re.compile(r"https?://[^\s)\]>，。]+(?=[\s)\]>])")
@@ -71,63 +78,119 @@ def link_shape(url: str) -> str:
     return "/".join([f"h{host.count('.') + 1 if host else 0}{'' if not host.endswith('.') else '.'}", *kind])
 
 
-def ending(text: str | None, kind: str | None = None) -> tuple[str, str]:
-    """How a text closes (whole, cut, link, tag, name) and the item that decides."""
-    t = _TRAIL.sub("", text or "")
+def _at_end(pattern: re.Pattern, t: str) -> re.Match | None:
+    """The pattern's match at the end of a text, sought in a tail that grows while the match begins with it."""
+    n = 64
+    while True:
+        m = pattern.search(t, max(0, len(t) - n))
+        if m is None or n >= len(t) or m.start() > len(t) - n:
+            return m
+        n *= 4
+
+
+def _bare(text: str) -> str:
+    m = _at_end(_TRAIL, text)
+    return text[: m.start()] if m else text
+
+
+def _unmarked(text: str) -> tuple[str, str]:
+    """A text without what was put after its end, and which kind of mark that was."""
+    t = _bare(text)
+    if t.endswith("\ufffd"):
+        return t.rstrip("\ufffd"), "half character"
+    m = _at_end(_BREAK_MARK, t)
+    if m:
+        before, mark = _bare(t[: m.start()]), m.group()
+        if before:
+            return before, {"…": "ellipsis" if len(mark) == 1 else "long ellipsis", ".": "dots"}.get(mark[0], "note")
+    return t, ""
+
+
+def closing(text: str) -> tuple[str, str, str]:
+    """Class of the closing word or mark, the item by which it may be known elsewhere, and the mark after it.
+
+    Classes tell sentence marks, brackets, fences, emphasis, emoji, links, tags and signatures, words, numbers and other marks. After
+    a word, number or other mark it counts whether the text has any sentence or line before, and if not, how long it is.
+    """
+    t, mark = _unmarked(text)
     if not t:
-        return WHOLE, ""
-    if t[-1] == "�":
-        return CUT, "character"
-    mark = _BREAK_MARK.search(t)
-    if kind == "remark" or (kind is None and len(t) <= REMARK_CHARS and not _LINK_END.search(t) and not re.search(f"[{STOPS}][^{STOPS}]", t)):
-        return WHOLE, "remark"
-    if mark:
-        before = _TRAIL.sub("", t[: mark.start()])
-        return (WHOLE, "mark") if not before or _STOP_END.search(before) else (CUT, "mark")
+        return "blank", "", mark
     if t.count("```") % 2:
-        return CUT, "fence"
+        return "open fence", "", mark
     if t.endswith("```"):
-        return WHOLE, "fence"
+        return "fence", "", mark
     last = t[t.rfind("\n") + 1 :].strip()
     m = _LINK_END.search(last)
     if m:
-        return LINK, link_shape(m.group())
-    m = re.search(r"\]\((https?:[^\s)]*)\)$", last)
-    if m:
-        return WHOLE, "link"
+        return LINK, link_shape(m.group()), mark
+    if _LINK_CLOSED.search(last):
+        return "closed link", "", mark
     m = _NAME_LINE.match(last)
     if m:
-        return NAME, m.group(1)
+        return NAME, m.group(1), mark
     m = _TAGS_END.search(last)
     if m:
-        return TAG, m.group(1)
-    if _STOP_END.search(t):
-        return WHOLE, "stop"
-    tail = t[-160:]
+        return TAG, m.group(1), mark
+    if _at_end(_STOP_END, t):
+        return "stop", "", mark
     c = t[-1]
     if c in _OPENERS:
-        return (WHOLE, "bracket") if _OPENERS[c] in tail[:-1] else (CUT, "bracket")
+        return ("bracket" if _OPENERS[c] in t else "lone bracket"), "", mark
     if c in "*_~":
         inner = last.strip("*_~")
-        return (WHOLE, "emphasis") if inner and last.count(c) % 2 == 0 and not last.endswith(" " + c * 2) else (CUT, "emphasis")
-    if unicodedata.category(c) in ("So", "Sk", "Mn", "Me", "Cf", "Co") or c == "⃣":
-        return WHOLE, "emoji"
-    return CUT, "word"
-
-
-def complete_items(texts: list[str | None]) -> Counter:
-    """(kind, item) counts of links' shapes, tags and names that stand complete inside texts."""
-    out: Counter = Counter()
-    for t in texts:
-        if not t:
-            continue
-        if "http" in t:
-            out.update((LINK, link_shape(u)) for u in _LINKS_IN.findall(t))
-        if "#" in t:
-            out.update((TAG, x) for x in _TAGS_IN.findall(t))
-        if "**" in t or "/ " in t:
-            out.update((NAME, a or b) for a, b in _NAMES_IN.findall(t))
-    return out
+        return ("emphasis" if inner and last.count(c) % 2 == 0 and not last.endswith(" " + c * 2) else "open emphasis"), "", mark
+    kind = unicodedata.category(c)
+    if kind in ("So", "Sk", "Mn", "Me", "Cf", "Co") or c == "\u20e3":
+        return "emoji", "", mark
+    word = {"L": "word", "N": "number"}.get(kind[0], "other")
+    before = "after a sentence" if _STOP_INSIDE.search(t) else "in a short line" if len(t) < 64 else "in a long line"
+    return f"{word} {before}", "", mark
+
+
+def complete_items(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, item) of links' shapes, tags and names that stand complete inside a text."""
+    if "http" in text:
+        yield from ((LINK, link_shape(u)) for u in _LINKS_IN.findall(text))
+    if "#" in text:
+        yield from ((TAG, x) for x in _TAGS_IN.findall(text))
+    if "**" in text or "/ " in text:
+        yield from ((NAME, a or b) for a, b in _NAMES_IN.findall(text))
+
+
+def opinion(cls: str) -> tuple[float, float]:
+    """Prior rows, cut and whole, of a class."""
+    if cls.startswith(("word", "number", "other")):
+        return PRIOR["remark" if cls.endswith("short line") else "cut"]
+    return PRIOR["cut" if cls.startswith(("open", "lone")) or cls.endswith(("begun", "rare", "never")) else "whole"]
+
+
+def fit_terminality(ends: dict[tuple[str, str], int], inside: dict[str, int], rounds: int = 20) -> dict[tuple[str, str], float]:
+    """Share of cut rows among the ends of each (class, mark), from counts at ends and of classes at places inside."""
+    if not ends:
+        return {}
+    classes = sorted({c for c, _ in ends} | set(inside))
+    marks = sorted({m for _, m in ends})
+    n = np.zeros((len(classes), len(marks)))
+    for (c, m), k in ends.items():
+        n[classes.index(c), marks.index(m)] = k
+    within = np.array([inside.get(c, 0) + 0.5 for c in classes])
+    within /= within.sum()
+    rows, total = n.sum(1), n.sum()
+    top = within.argmax()
+    rate = min(0.5, rows[top] / total / within[top])
+    for_cut, for_whole = np.array([opinion(c) for c in classes]).T
+    share = (np.minimum(rate * within * total, rows) + for_cut) / (rows + for_cut + for_whole)
+    post = np.repeat(share[:, None], len(marks), 1)
+    for _ in range(rounds):
+        cut = (n * post).sum(0) + 0.5
+        whole = (n * (1 - post)).sum(0) + 0.5
+        own = n * (1 - post)
+        # whole texts of a class have their own way with marks, drawn to that of all
+        whole = (own + 5 * whole / whole.sum()) / (own.sum(1, keepdims=True) + 5)
+        s = np.clip(share, 1e-6, 1 - 1e-6)[:, None]
+        odds = s / (1 - s) * (cut / cut.sum()) / whole
+        post = odds / (1 + odds)
+    return {(c, m): float(post[i, j]) for i, c in enumerate(classes) for j, m in enumerate(marks)}
 
 
 def word_shingles(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -185,34 +248,56 @@ def _bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return M.mix(h ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * M._ODD[6])).view(np.int64)
 
 
-def _read(docs: DataFrame) -> DataFrame:
-    """id, digest (two longs), closing, item, whether a copy can show that it goes on, bands of each text: one pass, no shuffle."""
+def _inside(text: str, digest: bytes) -> Iterator[str]:
+    """The text cut at places drawn by its hash."""
+    for i in range(INSIDE):
+        at = 1 + int.from_bytes(digest[5 * i : 5 * i + 5], "little") % max(1, len(text) - 1)
+        if text[:at].strip():
+            yield text[:at]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
-                texts, kinds = b.column(1).to_pylist(), b.column(2).to_pylist()
-                ends = [ending(t, k) for t, k in zip(texts, kinds)]
-                bands = _bands(*word_shingles([t or "" for t in texts]))
-                dig = np.frombuffer(b"".join(hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.array([e[0] != CUT and e[1] != "remark" and may_go_on(t) for t, e in zip(texts, ends)], pa.bool_()), pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))],
-                    names=["id", "d0", "d1", "closing", "item", "open", "bands"],
-                )
 
-    return docs.mapInArrow(run, "id long, d0 long, d1 long, closing string, item string, open boolean, bands array<long>")
+_READ = "what string, id long, d0 long, d1 long, cls string, item string, mark string, n long, open boolean, bands array<long>"
 
 
-def _vocabulary(docs: DataFrame) -> DataFrame:
-    """kind, item, n: what stands complete inside texts."""
+def _read(docs: DataFrame) -> DataFrame:
+    """One pass, no shuffle: rows ``end`` (one a text, with its digest, closing, whether a copy can show that it goes on, and bands), and
+    counts of closings at places ``inside`` and of ``item`` that stand complete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = complete_items(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in c], pa.string()), pa.array([i for _, i in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["kind", "item", "n"])
+        counts: Counter = Counter()
+        names = [x.split()[0] for x in _READ.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
 
-    return docs.select("text").mapInArrow(run, "kind string, item string, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+        def counted() -> pa.RecordBatch:
+            k = list(counts)
+            none = [None] * len(k)
+            cols = [[x[0] for x in k], none, none, none, [x[1] for x in k], [x[2] for x in k], none, list(counts.values()), none, none]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], names=names)
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                texts = b.column(1).to_pylist()
+                n = len(texts)
+                digests = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+                ends = [closing(t) for t in texts]
+                for t, dig in zip(texts, digests):
+                    for x in _inside(t, dig):
+                        c = closing(x)
+                        counts["inside", c[0], c[1]] += 1
+                    counts.update(("item", k, i) for k, i in complete_items(t))
+                dig = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                bands = _bands(*word_shingles(texts))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                cols = [["end"] * n, b.column(0), dig[:, 0].copy(), dig[:, 1].copy(), *([e[i] for e in ends] for i in range(3)), [1] * n, [may_go_on(t) for t in texts]]
+                yield pa.RecordBatch.from_arrays([*(v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(cols, kinds)), lists], names=names)
+            if len(counts) > 50_000:
+                yield counted()
+        if counts:
+            yield counted()
+
+    return docs.mapInArrow(run, _READ)
 
 
 def _aligned(short: pd.Series, long: pd.Series) -> pd.Series:
@@ -230,21 +315,17 @@ def _alike(x: str, y: str) -> bool:
 
 def may_go_on(text: str | None) -> bool:
     """Whether a text ends so that ``ends_early`` can hold against some copy: all others needn't be compared."""
-    s = _bare(text or "")
+    s = _unmarked(text or "")[0]
     return len(s) >= LEAST_TAIL and (s[-1].isalnum() or s[-1] in "-_/.#")
 
 
-def _bare(text: str) -> str:
-    return _TRAIL.sub("", _BREAK_MARK.sub("", _TRAIL.sub("", text)))
-
-
 def ends_early(short: str, long: str) -> bool:
     """Whether the end of ``short`` aligns with the inside of ``long`` and stops within a word, number or link there.
 
     The end is laid where most characters before it agree; of several such places, where it stands in ``short``.
     After a stop only a digit or a small letter goes on: ``3.`` of ``3.5``, ``example.`` of ``example.org``.
     """
-    s, t = _bare(short), _TRAIL.sub("", long)
+    s, t = _unmarked(short)[0], _bare(long)
     if len(s) < LEAST_TAIL or s[-LEAST_TAIL:] not in t:
         return False
     lo, hi = LEAST_TAIL, min(len(s), len(t))
@@ -262,32 +343,47 @@ def ends_early(short: str, long: str) -> bool:
     return not d.isspace() and d not in STOPS + CLOSERS + "，,；;：:、" and (c.isalnum() or c in "-_/.#") and (d.isalnum() or d in "-_/.")
 
 
-def find_cut(df: DataFrame, key: str, text: str, kind: str | None = None) -> DataFrame:
-    """One row a cut record: key, reason.  ``kind`` names a column whose value ``remark`` marks short remarks."""
-    k = F.col(kind).cast("string") if kind else F.lit(None).cast("string")
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"), k.alias("kind")).where("id is not null and text is not null")
+def _known(closings: DataFrame, items: DataFrame) -> DataFrame:
+    """Closings with ``cls`` told further by what is known of their item among complete ones."""
+    total = items.where(F.col("kind") == LINK).agg(F.sum("n")).first()[0]
+    begun = items.where(F.col("kind").isin(TAG, NAME) & (F.length("item") > 1))
+    begun = begun.select("kind", F.explode(F.expr("transform(sequence(1, length(item) - 1), i -> substring(item, 1, i))")).alias("item")).distinct().withColumn("begun", F.lit(True))
+    j = closings.where(F.col("cls").isin(LINK, TAG, NAME)).withColumnRenamed("n", "rows").withColumn("kind", F.col("cls"))
+    j = j.join(items, ["kind", "item"], "left").join(begun, ["kind", "item"], "left")
+    share = F.coalesce(F.col("n"), F.lit(0)) / F.lit(total or 1)
+    links = F.when(F.lit(total is None), "unknown").when(share == 0, "never").when(share < COMMON[0], "rare").when(share < COMMON[1], "known").otherwise("common")
+    other = F.when(F.col("n").isNotNull(), "known").when(F.col("begun"), "begun").otherwise("new")
+    told = F.concat(F.col("kind"), F.lit(" "), F.when(F.col("kind") == LINK, links).otherwise(other))
+    return closings.where(~F.col("cls").isin(LINK, TAG, NAME)).unionByName(j.withColumn("cls", told).withColumn("n", F.col("rows")).select(*closings.columns))
+
+
+def find_cut(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row a cut record: key, reason (``copy goes on``, else the class of its closing and its mark)."""
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
     seen = materialize(_read(docs), "endings")
-    cut = seen.where(F.col("closing") == CUT).select("id", F.col("item").alias("reason"))
-    vocab = materialize(_vocabulary(docs), "complete")
-    shapes = vocab.where(F.col("kind") == LINK)
-    total = shapes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ends = seen.where(F.col("closing").isin(LINK, TAG, NAME)).select("id", F.col("closing").alias("kind"), "item")
-    judged = ends.join(vocab, ["kind", "item"], "left")
-    links = judged.where((F.col("kind") == LINK) & (F.coalesce("n", F.lit(0)) < max(1.0, RARE_SHAPE * total)) & F.lit(total > 0)).select("id", F.lit("link").alias("reason"))
-    begun = vocab.where(F.col("kind").isin(TAG, NAME) & (F.length("item") > 1)).select("kind", F.explode(F.expr("transform(sequence(1, length(item) - 1), i -> substring(item, 1, i))")).alias("item")).distinct()
-    words = judged.where((F.col("kind") != LINK) & F.col("n").isNull()).join(begun, ["kind", "item"], "left_semi").select("id", F.lit("closing word").alias("reason"))
-    # near copies, between one representative of each exact copy
-    reps = seen.groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.bool_or("open").alias("open"))
-    # A text that isn't cut by itself may be shown to be by a copy, also if it looks whole.  It is held
-    # against every other text of its buckets.
+    ends = seen.where("what = 'end'")
+    # near copies, between one representative of each exact copy: every text whose end may go on is held against all others of its buckets
+    reps = ends.groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.bool_or("open").alias("open"))
     pairs = materialize(M.bucket_pairs_from(reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "open")), "pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     t = docs.select("id", "text").join(need, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     both = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")
     early = both.where(F.pandas_udf(_aligned, "boolean")(F.col("ta"), F.col("tb"))).select(F.col("a").alias("id")).distinct()
-    early = seen.join(early, "id", "left_semi").select("d0", "d1").distinct()
-    early = seen.where("open").join(early, ["d0", "d1"], "left_semi").select("id", F.lit("copy goes on").alias("reason"))
-    return cut.unionByName(links).unionByName(words).unionByName(early).groupBy("id").agg(F.min("reason").alias("reason")).select(F.col("id").alias(key), "reason")
+    early = ends.join(early, "id", "left_semi").select("d0", "d1").distinct().withColumn("early", F.lit(True))
+    # terminality of the others
+    items = materialize(seen.where("what = 'item'").groupBy(F.col("cls").alias("kind"), "item").agg(F.sum("n").alias("n")), "items")
+    closings = materialize(_known(seen.where("what <> 'item'").select("what", "id", "d0", "d1", "cls", "item", F.coalesce("mark", F.lit("")).alias("mark"), "n"), items), "closings")
+    ends_n, inside_n = {}, Counter()
+    for r in closings.groupBy("what", "cls", "mark").agg(F.sum("n").alias("n")).collect():  # classes and marks: at most some two hundred rows
+        if r.what == "inside":
+            inside_n[r.cls] += r.n
+        elif r.cls != "blank":
+            ends_n[r.cls, r.mark] = r.n
+    cut = [(c, m, p) for (c, m), p in fit_terminality(ends_n, inside_n).items() if p > CUT_SHARE]
+    told = F.array(*[F.lit(f"{c}\0{m}") for c, m, _ in cut]).cast("array<string>")
+    rows = closings.where("what = 'end'").join(early, ["d0", "d1"], "left").where(F.col("early") | F.array_contains(told, F.concat_ws("\0", "cls", "mark")))
+    reason = F.when(F.col("early"), "copy goes on").otherwise(F.concat_ws(", then ", "cls", F.when(F.col("mark") != "", F.col("mark"))))
+    return rows.groupBy("id").agg(F.min(reason).alias("reason")).select(F.col("id").alias(key), "reason")
 
 
 def share_by_source(df: DataFrame, cut: DataFrame, key: str, source: str) -> DataFrame:

@@ -16,23 +16,44 @@ WHOLE = [
 CUTS = ["It was mer", "the first one,", "它们的差别主", "他们准备�", "It was merged after lunch without touching the mod...", "see the [source](https", "（长尾跑", "run\n```\nrun --li", "value is 42,3", "- **Bold", "the result is…"]
 
 
-@pytest.mark.parametrize("text", WHOLE)
-def test_whole(text):
-    long = text and "This is a longer text. " * 4 + text
-    if text == "a title that ends well...":
-        assert C.ending(text, "remark")[0] == "whole"
+OPEN = ("word", "number", "other", "open", "lone")
+
+
+@pytest.mark.parametrize("text", [t for t in WHOLE if t and t.strip()])
+def test_closings_of_whole_texts(text):
+    if text == "a title that ends well...":  # whole as a remark of its own
+        assert C.closing(text)[0] == "word in a short line"
     else:
-        assert C.ending(long, "post")[0] != "cut"
+        assert not C.closing("This is a longer text. " * 4 + text)[0].startswith(OPEN)
 
 
 @pytest.mark.parametrize("text", CUTS)
-def test_cut(text):
-    assert C.ending("This is a longer text. " * 4 + text, "post")[0] == "cut"
+def test_closings_of_cut_texts(text):
+    assert C.closing("This is a longer text. " * 4 + text)[0].startswith((*OPEN, "link"))
+
+
+def test_short_lines_are_told_apart():
+    assert C.closing("已更新")[0] == "word in a short line" and C.closing("monitor digest replaced……")[::2] == ("word in a short line", "long ellipsis")
+    assert C.closing("It is so. monitor digest")[0] == "word after a sentence" and C.closing("word " * 20)[0] == "word in a long line"
+    assert C.closing("\u200b \n")[0] == "blank" and C.closing("...")[0] == "stop"
+
+
+def test_the_end_is_found_behind_any_length_of_tail():
+    assert C.closing("Done and dus" + "\u200b " * 5000)[0] == "word in a short line"
+    assert C.closing("Done. And dus" + "." * 9000)[::2] == ("word after a sentence", "dots")
 
 
-def test_remarks_are_whole():
-    assert C.ending("已更新", "remark")[0] == "whole" and C.ending("图见评论区", None)[0] == "whole"
-    assert C.ending("monitor digest replaced", None)[0] == "whole"
+def test_terminality_is_learned_from_counts():
+    """Brackets that stand at ends far more often than inside are whole, words are cut; with other counts it is the other way round."""
+    ends = {("stop", ""): 900, ("bracket", ""): 300, ("word after a sentence", ""): 100, ("word after a sentence", "dots"): 8, ("word in a short line", ""): 90}
+    inside = {"stop": 60, "bracket": 20, "word after a sentence": 2000, "word in a short line": 60}
+    share = C.fit_terminality(ends, inside)
+    assert share["word after a sentence", ""] > 0.9 and share["word after a sentence", "dots"] > 0.9
+    assert max(share["stop", ""], share["bracket", ""], share["word in a short line", ""]) < 0.1
+    # texts that close with words by habit: what stands inside is brackets, and ends in brackets are the cut ones
+    share = C.fit_terminality({("word after a sentence", ""): 9000, ("bracket", ""): 2000}, {"bracket": 5000, "word after a sentence": 50})
+    assert share["word after a sentence", ""] < 0.1 and share["bracket", ""] > 0.5
+    assert C.fit_terminality({}, {}) == {}
 
 
 def test_link_shape():
@@ -60,7 +81,7 @@ def corpus():
 
 
 def found(spark, rows):
-    return {r.doc_id for r in C.find_cut(spark.createDataFrame(rows, "doc_id long, text string, kind string").withColumn("id", F.lit(1)).withColumn("item", F.lit("")), "doc_id", "text", "kind").collect()}
+    return {r.doc_id for r in C.find_cut(spark.createDataFrame(rows, "doc_id long, text string, kind string").withColumn("id", F.lit(1)).withColumn("item", F.lit("")), "doc_id", "text").collect()}
 
 
 def test_evidence(spark):
@@ -73,7 +94,7 @@ def test_evidence(spark):
         (1003, rows[3][1].split("\n\n")[0] + "\nhttps://t.exam", "post"),
         (1004, full[:-3], "post"),  # only its copy shows that the number goes on
         (1005, full[:-3], "post"),
-        (1006, "The sentence stops in the mid", "post"),
+        (1006, "It began well. The sentence stops in the mid", "post"),
     ]
     assert found(spark, rows + cut + [(1100, full, "post"), (1101, None, "post"), (1006, cut[-1][1], "post")]) == {1001, 1002, 1003, 1004, 1005, 1006}
 
