@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -85,7 +86,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch(spark: SparkSession, collect: bool = True) -> Iterator[None]:
     """Within, everything materialised goes to one folder that is deleted at the end: for steps whose result is written elsewhere."""
     root = fresh_path(spark, "scratch")
     token = _scratch.set(root)
@@ -95,17 +96,64 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _scratch.reset(token)
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        # the cleaner drops the shuffles and broadcasts of the finished step once their plans are collected
-        gc.collect()
-        spark.sparkContext._jvm.java.lang.System.gc()
+        if collect:  # the cleaner drops the shuffles and broadcasts of finished steps once their plans are collected
+            gc.collect()
+            spark.sparkContext._jvm.java.lang.System.gc()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut the lineage of ``df``: write it once below the shared folder and read it back.
 
     The copy is a plain table on shared storage, so a lost executor costs a
-    re-read and not a re-computation.
+    re-read and not a re-computation.  With ``by`` it has a folder for each value of that column,
+    whose rows are brought together first (those of a large one in several files).
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if by:
+        rest = [c for c in df.columns if c != by]
+        df = df.select(*rest, by).hint("rebalance", by)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole under a name that must be free; False if it is taken.
+
+    The content is written beside it first.  Taking the name is one step that fails if somebody else took it: a
+    hard link on a file system, a rename without overwriting elsewhere.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    mine = jvm.org.apache.hadoop.fs.Path(to.getParent(), f".{to.getName()}-{uuid.uuid4().hex}")
+    fs = to.getFileSystem(conf)
+    stream = fs.create(mine, True)
+    stream.write(text.encode())
+    stream.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(mine.toUri().getPath(), to.toUri().getPath())
+            return True
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        none = spark.sparkContext._gateway.new_array(rename, 1)
+        none[0] = rename.NONE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(mine, to, none)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
+    finally:
+        if fs.exists(mine):
+            fs.delete(mine, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file whole."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
