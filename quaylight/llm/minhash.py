@@ -33,7 +33,9 @@ D = 1 << 20
 #: A pair alike by 0.6 shares no band with probability (1 - 0.6 ** 4) ** 80 = 0.000015.
 BANDS, ROWS = 80, 4
 K = BANDS * ROWS
-SKETCH_BITS = 128
+SKETCH_BITS = 256
+#: Columns of the sketch.
+SKETCH = tuple(f"s{i}" for i in range(SKETCH_BITS // 64))
 BLOCK = 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -91,7 +93,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """One bit of each of the first ``SKETCH_BITS`` coordinates, as two 64-bit numbers."""
+    """One bit of each of the first ``SKETCH_BITS`` coordinates, as 64-bit numbers."""
     return np.packbits((sig[:, :SKETCH_BITS] >> 3) & 1, axis=1).view(np.int64)
 
 
@@ -102,7 +104,7 @@ def least_agreement(similarity: float) -> int:
 
 
 def sign(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, bands (array of long), s0, s1 for each text."""
+    """key, bands (array of long) and the sketch's columns for each text."""
     kept = texts.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +114,15 @@ def sign(texts: DataFrame, key: str, text: str) -> DataFrame:
                 sig = signatures(*char_shingles(c.column(1).to_pylist()))
                 sk = sketches(sig)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sig).ravel()))
-                yield pa.RecordBatch.from_arrays([c.column(0), bands, pa.array(np.ascontiguousarray(sk[:, 0])), pa.array(np.ascontiguousarray(sk[:, 1]))], names=[key, "bands", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([c.column(0), bands, *(pa.array(np.ascontiguousarray(x)) for x in sk.T)], names=[key, "bands", *SKETCH])
 
-    return texts.select(key, text).mapInArrow(run, f"{key} {kept.dataType.simpleString()}, bands array<bigint>, s0 bigint, s1 bigint")
+    return texts.select(key, text).mapInArrow(run, f"{key} {kept.dataType.simpleString()}, bands array<bigint>" + "".join(f", {x} bigint" for x in SKETCH))
 
 
 def signed_rows(rows: DataFrame, text: str, bands: str) -> DataFrame:
-    """All columns of ``rows`` with ``bands`` (array of long), s0, s1, null where the text is; no shuffle."""
+    """All columns of ``rows`` with ``bands`` (array of long) and the sketch's columns, null where the text is; no shuffle."""
     at = rows.columns.index(text)
-    schema = T.StructType([*rows.schema.fields, T.StructField(bands, T.ArrayType(T.LongType())), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(bands, T.ArrayType(T.LongType())), *(T.StructField(x, T.LongType()) for x in SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,7 +133,7 @@ def signed_rows(rows: DataFrame, text: str, bands: str) -> DataFrame:
                 sig = signatures(*char_shingles([t or "" for t in texts]))
                 keys, sk = band_keys(sig), sketches(sig)
                 lists = pa.array([None if x else k for x, k in zip(none, keys)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*c.columns, lists, pa.array(sk[:, 0].copy(), mask=none), pa.array(sk[:, 1].copy(), mask=none)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*c.columns, lists, *(pa.array(x.copy(), mask=none) for x in sk.T)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -156,18 +158,18 @@ def _block(c: str) -> Column:
 
 
 def bucket_pairs(rows: DataFrame, block: int | None = None, least: int | None = None) -> DataFrame:
-    """Distinct pairs a < b of ids that share a key, of rows (key, id) or (key, id, s0, s1).
+    """Distinct pairs a < b of ids that share a key, of rows (key, id), with or without the sketch's columns.
 
-    With sketches s0, s1 only pairs that agree in ``least`` bits; a row without sketch (null) agrees with all.
+    With sketches only pairs that agree in ``least`` bits; a row without sketch (null) agrees with all.
     """
     block = block or BLOCK
-    sk = [c for c in ("s0", "s1") if c in rows.columns]
+    sk = [c for c in SKETCH if c in rows.columns]
     n = _numbered(rows, block, False).select("key", "id", *sk, _block("blocks").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     n = n.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "id", *sk)).alias("l"))
     p = n.select("i", "j", F.explode("l").alias("x"), "l").select("i", "j", "x", F.explode("l").alias("y"))
     p = p.where("(i = j and x.id < y.id) or (i < j and x.own = i and y.own = j)")
     if sk and least is not None:
-        p = p.where(F.coalesce(agreement(F.col("x.s0"), F.col("x.s1"), F.col("y.s0"), F.col("y.s1")) >= least, F.lit(True)))
+        p = p.where(F.coalesce(agreement([F.col(f"x.{c}") for c in sk], [F.col(f"y.{c}") for c in sk]) >= least, F.lit(True)))
     return p.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a < b").distinct()
 
 
@@ -184,9 +186,9 @@ def bucket_pairs_from(rows: DataFrame, block: int | None = None) -> DataFrame:
     return g.select(F.explode("l").alias("a"), "r").select("a", F.explode("r").alias("b")).where("a <> b").distinct()
 
 
-def agreement(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+def agreement(a: list[Column], b: list[Column]) -> Column:
     """Bits in which two sketches agree."""
-    return F.lit(SKETCH_BITS) - F.bit_count(a0.bitwiseXOR(b0)) - F.bit_count(a1.bitwiseXOR(b1))
+    return F.lit(SKETCH_BITS) - sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0))
 
 
 def shingle_set(s: str, size: int = 4) -> frozenset:
@@ -194,13 +196,15 @@ def shingle_set(s: str, size: int = 4) -> frozenset:
 
 
 def similarity(a: Column, b: Column, size: int = 4) -> Column:
-    """Exact Jaccard similarity of the sets of runs of ``size`` characters."""
+    """Exact Jaccard similarity of the sets of runs of ``size`` characters; 0 where either is null."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         sets: dict[str, frozenset] = {}
         out = np.zeros(len(x))
         for i, (s, t) in enumerate(zip(x.tolist(), y.tolist())):
+            if s is None or t is None:
+                continue
             for u in (s, t):
                 if u not in sets:
                     if len(sets) > 4096:
@@ -220,7 +224,7 @@ def verified_links(reps: DataFrame, threshold: float) -> DataFrame:
     ``reps`` must be materialised: it is read for signing and for the check.
     """
     signed = materialize(sign(reps, "id", "squeezed"), "signed")
-    cand = bucket_pairs(signed.select(F.explode("bands").alias("key"), "id", "s0", "s1"), least=least_agreement(threshold))
+    cand = bucket_pairs(signed.select(F.explode("bands").alias("key"), "id", *SKETCH), least=least_agreement(threshold))
     t = reps.select("id", "squeezed")
     cand = cand.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b")
     return cand.select("a", "b", similarity(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
