@@ -3,8 +3,10 @@
 A hidden Markov model with the states normal, spike, stuck and out of range runs
 over each source's series of a metric.  What it observes of a reading is its
 robust distance from the source's own centred median, whether it repeats a
-neighbouring reading, and whether it lies outside hard bounds;
-forward-backward gives the probability of each state.
+neighbouring reading, and whether it lies outside hard bounds.  Each series has its own model: Baum-Welch fits
+transitions, the spread of normal readings and of spikes, and how often normal and stuck readings repeat, drawn to the
+common model by ``PRIOR`` readings' worth, so a short series keeps to it.  Forward-backward under the fitted model gives the
+probability of each state, and ``suspected`` reads the states off; ``distrusted`` further holds them against stated rules.
 
 The series are cut into segments of ``SEGMENT_DAYS`` days with a halo of days on both
 sides, so a source of any length, and one that holds a third of all rows, is spread over
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaylight.functions.batches import whole_groups
@@ -41,6 +43,13 @@ STATES = ("normal", "spike", "stuck", "out_of_range")
 # rows: from, columns: to, in the order of STATES
 TRANSITION = np.array([[0.97, 0.01, 0.01, 0.01], [0.62, 0.30, 0.04, 0.04], [0.08, 0.01, 0.90, 0.01], [0.56, 0.02, 0.02, 0.40]])
 START = np.array([0.94, 0.02, 0.02, 0.02])
+#: Readings' worth of the common model in each fit, and rounds of fitting.
+PRIOR = 60.0
+ROUNDS = 3
+#: Spread of normal readings in robust deviations and of spikes; how often normal (its bounds) and stuck readings repeat.
+SPREAD, BROAD = 1.0, 10.0
+SPREADS, RATES = (0.5, 1.4), (0.01, 0.25)
+STUCK_RATE = 0.98
 
 
 def rolling_median_mad(grid: np.ndarray, half: int = WINDOW_DAYS) -> tuple[np.ndarray, np.ndarray]:
@@ -65,42 +74,85 @@ def _middle(rows: np.ndarray) -> np.ndarray:
     return (s[i, (k - 1) // 2] + s[i, k // 2]) / 2
 
 
-def forward_backward(like: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """State probabilities of padded series: ``like`` is (series, time, state)."""
-    n, t, k = like.shape
-    a = np.zeros_like(like)
-    cur = np.tile(START, (n, 1)) * like[:, 0]
-    cur /= cur.sum(1, keepdims=True)
-    a[:, 0] = cur
-    for i in range(1, t):
-        nxt = (cur @ TRANSITION) * like[:, i]
-        nxt /= nxt.sum(1, keepdims=True)
-        cur = np.where(there[:, i, None], nxt, cur)
-        a[:, i] = cur
-    b = np.ones((n, k))
-    for i in range(t - 1, -1, -1):
-        a[:, i] *= b
-        nb = (like[:, i] * b) @ TRANSITION.T
-        nb /= nb.sum(1, keepdims=True)
-        b = np.where(there[:, i, None], nb, b)
-    return a / a.sum(2, keepdims=True)
-
-
-def likelihoods(z: np.ndarray, equal: np.ndarray, outside: np.ndarray, equal_rate: np.ndarray) -> np.ndarray:
-    """Emission densities of the four states; finite and positive everywhere."""
-    bell = np.exp(-np.minimum(z * z, 1000.0) / 2) / np.sqrt(2 * np.pi) + 1e-30
-    broad = 1 / (np.pi * 10 * (1 + (z / 10) ** 2))
-    e_n = np.where(equal, equal_rate, 1 - equal_rate)
-    e_k = np.where(equal, 0.98, 0.02)
-    return np.stack(
-        [
-            bell * e_n * np.where(outside, 1e-9, 1.0),
-            broad * e_n * np.where(outside, 0.1, 1.0),
-            (0.9 * bell + 0.1 * broad) * e_k * np.where(outside, 1e-3, 1.0),
-            np.where(outside, 0.9, 1e-6) * np.full_like(z, 0.1),
-        ],
-        axis=-1,
-    )
+class Models:
+    """One model for each of n series: transitions (n, 4, 4), spreads, broads, rates and stuck rates (n)."""
+
+    def __init__(self, n: int, rates: np.ndarray | None = None):
+        self.moves = np.tile(TRANSITION, (n, 1, 1))
+        self.spread, self.broad = np.full(n, SPREAD), np.full(n, BROAD)
+        self.rate = np.full(n, 0.05) if rates is None else rates
+        self.stuck = np.full(n, STUCK_RATE)
+
+    def likelihoods(self, z: np.ndarray, equal: np.ndarray, outside: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Emission densities of the four states; finite and positive everywhere.  ``of`` is each reading's series."""
+        s, w, r, k = self.spread[of], self.broad[of], self.rate[of], self.stuck[of]
+        bell = np.exp(-np.minimum((z / s) ** 2, 1000.0) / 2) / (s * np.sqrt(2 * np.pi)) + 1e-30
+        broad = 1 / (np.pi * w * (1 + (z / w) ** 2))
+        repeats = np.where(equal, r, 1 - r)
+        return np.stack(
+            [
+                bell * repeats * np.where(outside, 1e-9, 1.0),
+                broad * repeats * np.where(outside, 0.1, 1.0),
+                (0.9 * bell + 0.1 * broad) * np.where(equal, k, 1 - k) * np.where(outside, 1e-3, 1.0),
+                np.where(outside, 0.9, 1e-6) * np.full_like(z, 0.1),
+            ],
+            axis=-1,
+        )
+
+    def forward_backward(self, like: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State probabilities of padded series (``like`` is (series, time, state)), and expected moves (series, from, to)."""
+        n, t, k = like.shape
+        a, b = np.zeros_like(like), np.ones_like(like)
+        cur = START * like[:, 0]
+        cur = a[:, 0] = cur / cur.sum(1, keepdims=True)
+        for i in range(1, t):
+            nxt = np.matmul(cur[:, None], self.moves)[:, 0] * like[:, i]
+            nxt /= nxt.sum(1, keepdims=True)
+            cur = a[:, i] = np.where(there[:, i, None], nxt, cur)
+        back = self.moves.transpose(0, 2, 1)
+        nb = np.ones((n, k))
+        for i in range(t - 1, 0, -1):
+            seen = np.matmul((like[:, i] * nb)[:, None], back)[:, 0]
+            seen /= seen.sum(1, keepdims=True)
+            nb = b[:, i - 1] = np.where(there[:, i, None], seen, nb)
+        p = a * b
+        p /= p.sum(2, keepdims=True)
+        ahead = (like * b)[:, 1:] * there[:, 1:, None]
+        norm = np.einsum("nti,nij,ntj->nt", a[:, :-1], self.moves, ahead)
+        ahead = ahead / np.where(norm > 0, norm, 1.0)[:, :, None]
+        return p, np.einsum("nti,ntj->nij", a[:, :-1], ahead) * self.moves
+
+    def refit(self, p: np.ndarray, moves: np.ndarray, z: np.ndarray, equal: np.ndarray, of: np.ndarray, share: np.ndarray) -> None:
+        """Maximisation: expected counts with ``PRIOR`` readings of the common model.  ``share`` is each series' rate of repeats."""
+        n = len(self.rate)
+        total = lambda x: np.bincount(of, x, n)
+        whole = moves + PRIOR * np.array([0.94, 0.02, 0.02, 0.02])[:, None] * TRANSITION
+        self.moves = whole / whole.sum(2, keepdims=True)
+        normal, spike, stuck = p[:, 0], p[:, 1], p[:, 2]
+        self.spread = np.clip(np.sqrt((total(normal * np.minimum(z * z, 36.0)) + PRIOR * SPREAD**2) / (total(normal) + PRIOR)), *SPREADS)
+        self.broad = (total(spike * np.minimum(np.abs(z), 100.0)) + PRIOR * 0.02 * BROAD) / (total(spike) + PRIOR * 0.02)
+        self.rate = np.clip((total(normal * equal) + PRIOR * share) / (total(normal) + PRIOR), *RATES)
+        self.stuck = np.clip((total(stuck * equal) + PRIOR * 0.02 * STUCK_RATE) / (total(stuck) + PRIOR * 0.02), 0.8, 0.99)
+
+
+def fitted(z: np.ndarray, equal: np.ndarray, outside: np.ndarray, of: np.ndarray, pos: np.ndarray, n: int) -> tuple[np.ndarray, Models]:
+    """State probabilities of readings under each series' own model, and the models.
+
+    A reading is the ``pos``-th of series ``of``; equal, outside and z are what is observed of it.
+    """
+    t = int(pos.max()) + 1
+    share = np.clip(np.bincount(of, equal, n) / np.maximum(np.bincount(of, minlength=n), 1), *RATES)
+    models = Models(n, share)
+    there = np.zeros((n, t), bool)
+    there[of, pos] = True
+    for i in range(ROUNDS + 1):
+        like = np.ones((n, t, len(STATES)))
+        like[of, pos] = models.likelihoods(z, equal, outside, of)
+        p, moves = models.forward_backward(like, there)
+        p = p[of, pos]
+        if i < ROUNDS:
+            models.refit(p, moves, z, equal, of, share)
+    return p, models
 
 
 def _neighbours(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +199,10 @@ def _score(pdf: pd.DataFrame, bounds: dict[str, tuple[float, float]]) -> pd.Data
         m, d = _slow_median_mad(keys, day, x)
     start = np.searchsorted(keys, np.arange(n))
     pos = np.arange(len(pdf)) - start[keys]
-    t = int(pos.max()) + 1
     lo, hi = (pdf["metric"].map({k: v[i] for k, v in bounds.items()}).to_numpy(float) for i in (0, 1))
     out = (x < lo) | (x > hi)
-    rate = np.clip(np.bincount(keys, eq, n) / np.bincount(keys, minlength=n), 0.01, 0.25)[keys]
     z = np.where(d > 0, (x - m) / np.maximum(1.4826 * d, 1e-6), np.where(np.abs(x - m) > 0, 3.0, 0.0))
-    like, there = np.ones((n, t, 4)), np.zeros((n, t), bool)
-    like[keys, pos], there[keys, pos] = likelihoods(z, eq, out, rate), True
-    p = forward_backward(like, there)[keys, pos]
+    p, _ = fitted(z, eq, out, keys, pos, n)
     res = pdf[["source", "day_no", "metric", "value"]].copy()
     res["outside"], res["run"], res["median"], res["mad"] = out, long >= RUN, m, d
     for i, name in enumerate(STATES):
@@ -215,13 +263,31 @@ def score_readings(df: DataFrame, source: str, day: str, bounds: dict[str, tuple
     return out.withColumn("day_no", F.date_from_unix_date(F.col("day_no").cast("int"))).withColumnRenamed("day_no", "day")
 
 
+def suspected(scored: DataFrame) -> DataFrame:
+    """Readings whose most probable state isn't normal, with ``state`` and ``ruled``: whether a stated rule names them too.
+
+    The model alone decides: it sees deviations below the rules' factor that are odd for their source, and lets pass
+    what a rule names but the source's own ways explain.
+    """
+    best = F.greatest(*[f"p_{s}" for s in STATES])
+    state = F.coalesce(*[F.when(F.col(f"p_{s}") == best, s) for s in STATES])
+    return scored.withColumns({"state": state, "ruled": ruled()}).where("state <> 'normal'")
+
+
+def ruled() -> Column:
+    """Whether a reading breaks a stated rule: outside the bounds, too far from the median, or in a run.
+
+    Floating noise in the product decides nothing: a margin of 1e-9 is on the side of trust.
+    """
+    far = (F.col("mad") > 0) & (F.abs(F.col("value") - F.col("median")) > MAD_FACTOR * F.col("mad") + 1e-9)
+    return F.col("outside") | far | F.col("run")
+
+
 def distrusted(scored: DataFrame) -> DataFrame:
     """Readings the model distrusts that also fail a stated rule; a run is one whatever the model makes of it.
 
     The rules: outside the hard bounds; further than ``MAD_FACTOR`` median distances
     from the median (where that distance isn't 0); one of ``RUN`` equal readings in a row.
     The model sees a segment and its halo only, while a run goes on over a gap of any length.
-    Floating noise in the product decides nothing: a margin of 1e-9 is on the side of trust.
     """
-    far = (F.col("mad") > 0) & (F.abs(F.col("value") - F.col("median")) > MAD_FACTOR * F.col("mad") + 1e-9)
-    return scored.where(((F.col("p_normal") < SURE) & (F.col("outside") | far)) | F.col("run"))
+    return scored.where(((F.col("p_normal") < SURE) | F.col("run")) & ruled())

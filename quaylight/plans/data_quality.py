@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.operators.spikes import distrusted, score_readings
+from quaylight.operators.spikes import distrusted, score_readings, suspected
 from quaylight.operators.timestamps import normalize_times
 from quaylight.plans.registry import query
 from quaylight.sources.tables import table
@@ -46,3 +46,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Readings to be distrusted: device_id, report_day, metric."""
     bad = distrusted(score_readings(table(spark, d, "activity_days"), "device_id", "report_day", VITALS))
     return bad.select(F.col("source").alias("device_id"), F.date_format("day", "yyyy-MM-dd").alias("report_day"), "metric")
+
+
+@query("p4_states")
+def p4_states(spark: SparkSession, d: str) -> DataFrame:
+    """What each device's own model makes of its readings: device_id, metric, state, readings, and how many of them a stated rule names too."""
+    s = suspected(score_readings(table(spark, d, "activity_days"), "device_id", "report_day", VITALS))
+    return s.groupBy(F.col("source").alias("device_id"), "metric", "state").agg(F.count("*").alias("readings"), F.count_if("ruled").alias("ruled"))

@@ -6,7 +6,7 @@ from statistics import median
 import numpy as np
 from pyspark.sql import functions as F
 
-from quaylight.operators.spikes import distrusted, forward_backward, likelihoods, score_readings
+from quaylight.operators.spikes import Models, distrusted, fitted, score_readings, suspected
 
 BOUNDS = {"hr": (25.0, 150.0)}
 D0 = dt.date(2024, 1, 1)
@@ -79,12 +79,74 @@ def test_two_readings_a_day(spark):
     assert found(spark, rows) == direct(rows)
 
 
-def test_forward_backward_sums_to_one_and_follows_evidence():
-    z = np.array([[0.1, 0.2, 7.0, 0.3, 0.1]])
-    no = np.zeros((1, 5), bool)
-    p = forward_backward(likelihoods(z, no, no, np.full((1, 5), 0.05)), np.ones((1, 5), bool))
-    assert np.allclose(p.sum(2), 1)
-    assert p[0, 2, 1] > 0.9 and p[0, 0, 0] > 0.9
+def brute_forward_backward(m, like):
+    """Of one series, by all paths of states."""
+    from itertools import product
+
+    from quaylight.operators.spikes import START
+
+    t = len(like)
+    p, moves = np.zeros((t, 4)), np.zeros((4, 4))
+    for path in product(range(4), repeat=t):
+        w = START[path[0]] * like[0, path[0]] * np.prod([m[i, j] * like[k + 1, j] for k, (i, j) in enumerate(zip(path, path[1:]))])
+        for k, i in enumerate(path):
+            p[k, i] += w
+        for i, j in zip(path, path[1:]):
+            moves[i, j] += w
+    return p / p[0].sum(), moves / p[0].sum()
+
+
+def test_forward_backward_equals_all_paths():
+    rng = np.random.default_rng(1)
+    z, eq, no = rng.normal(0, 3, 10), rng.random(10) < 0.3, np.zeros(10, bool)
+    of, pos = np.array([0] * 6 + [1] * 4), np.r_[np.arange(6), np.arange(4)]
+    m = Models(2)
+    m.moves = rng.dirichlet(np.ones(4), (2, 4))
+    like, there = np.ones((2, 6, 4)), np.zeros((2, 6), bool)
+    like[of, pos], there[of, pos] = m.likelihoods(z, eq, no, of), True
+    p, moves = m.forward_backward(like, there)
+    for i, n in ((0, 6), (1, 4)):
+        want, want_moves = brute_forward_backward(m.moves[i], like[i, :n])
+        assert np.allclose(p[i, :n], want) and np.allclose(moves[i], want_moves)
+
+
+def test_each_source_has_a_model_of_its_own():
+    """The same readings mean less where the source's own ways explain them, and more where it often jumps."""
+    rng = np.random.default_rng(2)
+    n = 240
+    no = np.zeros(2 * n, bool)
+    z = rng.normal(0, 1, 2 * n)
+    z[n:][rng.random(n) < 0.2] *= 4
+    z[[100, 101, 102, n + 100, n + 101, n + 102]] = [0.1, 3.3, -0.2] * 2
+    of, pos = np.repeat([0, 1], n), np.tile(np.arange(n), 2)
+    p, models = fitted(z, no, no, of, pos, 2)
+    assert models.moves[1, 0, 1] > 3 * models.moves[0, 0, 1] and models.broad[1] < 10
+    assert p[n + 101, 1] > p[101, 1] + 0.2
+    # four equal readings: stuck for a source of fine readings, not for one of coarse readings
+    equal = no.copy()
+    equal[n:] = rng.random(n) < 0.4
+    equal[95:110] = equal[n + 95 : n + 110] = False
+    equal[100:104] = equal[n + 100 : n + 104] = True
+    p, models = fitted(rng.normal(0, 1, 2 * n), equal, no, of, pos, 2)
+    assert models.rate[1] > 5 * models.rate[0]
+    assert p[100:104, 2].min() > 0.9 and p[n + 100 : n + 104, 2].max() < p[100:104, 2].min() - 0.1
+    # a short series keeps to the common model
+    short, common = fitted(z[99:104], no[:5], no[:5], np.zeros(5, int), np.arange(5), 1)
+    assert np.allclose(common.moves[0], Models(1).moves[0], atol=0.03) and short[1, 0] > 0.9
+
+
+def test_the_model_decides_on_its_own(spark):
+    """No rule names the reading; without the model nothing would be found."""
+    rng = np.random.default_rng(5)
+    rows = [("a", D0 + dt.timedelta(days=i), 60 + float(np.round(rng.normal(0, 2), 2))) for i in range(120)]
+    xs = sorted(x for _, _, x in rows[35:95])
+    mad = median(abs(x - median(xs)) for x in xs)
+    rows[65] = ("a", rows[65][1], float(np.round(median(xs) + 7.5 * mad, 2)))
+    df = spark.createDataFrame(rows, "dev string, day date, hr double")
+    scored = score_readings(df, "dev", "day", BOUNDS)
+    assert {(r.day, r.state, r.ruled) for r in suspected(scored).collect()} == {(rows[65][1], "spike", False)}
+    assert distrusted(scored).count() == 0 and direct(rows) == set()
+    assert suspected(scored.withColumn("p_normal", F.lit(1.0))).count() == 0  # the model taken away
 
 
 def test_a_run_across_far_segments(spark):
