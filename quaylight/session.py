@@ -77,6 +77,7 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+PLAN_LENGTH_KEY, PLAN_LENGTH = "spark.sql.maxPlanStringLength", "4000b"
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
@@ -86,19 +87,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def scratch(spark: SparkSession, collect: bool = True) -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[None]:
     """Within, everything materialised goes to one folder that is deleted at the end: for steps whose result is written elsewhere."""
     root = fresh_path(spark, "scratch")
     token = _scratch.set(root)
+    longest = spark.conf.get(PLAN_LENGTH_KEY)
+    spark.conf.set(PLAN_LENGTH_KEY, PLAN_LENGTH)  # the driver keeps the descriptions of all its jobs
     try:
         yield
     finally:
+        spark.conf.set(PLAN_LENGTH_KEY, longest)
         _scratch.reset(token)
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        if collect:  # the cleaner drops the shuffles and broadcasts of finished steps once their plans are collected
-            gc.collect()
-            spark.sparkContext._jvm.java.lang.System.gc()
+        # the cleaner drops the shuffles and broadcasts of the finished step once their plans are collected
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
