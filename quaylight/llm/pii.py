@@ -2,10 +2,10 @@
 
 A semi-Markov conditional random field over whole spans: patterns propose candidate
 segments of every type, each with features of the span as a whole (its shape, check digit,
-name parts, the cue before and after it).  A segmentation is a set of
+name parts) and of the words and characters around it, whose weights are learned and not listed.  A segmentation is a set of
 candidates that don't overlap; everything else is plain text.  Its score is the sum of its segments' scores,
 and dynamic programming over the segments' ends finds the best one, which fixes boundaries and
-types together.  Segments are bounded in length, so the programme is linear in the text.
+types together.  Segments are bounded by their patterns, so the programme is linear in the text.
 
 Weights are fitted by maximum likelihood, with the forward-backward sums of the same programme, on
 labelled sentences made by :mod:`quaylight.llm.pii_samples`; fitting takes about a second, is
@@ -19,32 +19,31 @@ overlaps never occur; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from math import exp, log
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-#: No finding is longer.
-MAX_SPAN = 160
+#: Candidates in which a feature must occur to be learned.
+FEW = 5
 
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 32, 0x2010: 45, 0x2011: 45, 0x2012: 45, 0x2013: 45, 0x2212: 45, 0xA0: 32}
 _HAN = "一-鿿"
 
-# Words that go before or after personal data and their look-alikes.
-PHONE_CUES = ("电话", "tel", "phone", "call", "短信发", "打", "联系方式", "number", "mobile", "手机", "微信", "text")
-ID_CUES = ("身份证", "证件号", "号码", "填的是", "id no", "ssn", "on file", "id")
-NUMBER_TRAPS = ("单号", "订单", "会议号", "版本", "ip", "流水", "hash", "order", "价格", "due", "build", "room", "invoice", "ticket", "ref")
-ADDRESS_CUES = ("地址", "寄到", "寄", "在", "address", "ship it to", "at", "to", "住", "收货")
-NAME_CUES = ("收货人", "找", "是", "抄送", "抄送【", "联系人", "联系人:", "ask", "cc", "signed by", "by", "dr.", "mr.", "ms.", "mrs.", "prof.", "contact")
-NAME_AFTER = ("先生", "女士", "老师", "小姐", "对接", "】", "谢谢", ",", "(群主", "/ admin", "confirmed", "about")
-CUE_WORDS = ("see", "tell", "email", "call", "thanks", "dear", "hi", "hello", "please", "the", "with", "from", "for", "and", "signed", "attn", "to", "meet", "when", "after")
+# Words that open or join English sentences, so that a capital makes no given name of them.
+COMMON_WORDS = frozenset(
+    "a about after all also an and any as ask at because before both but by call cc dear did do email every find first for from give good great hello hey hi how i if in is it its last "
+    "let maybe meet my new next no not note now of on one only or our per please regards says see send she signed since so some tell thank thanks that the their then there they this "
+    "to today two we what when where which while who why will with yes you your he him his her attn contact copy meanwhile however yesterday tomorrow once out over".split()
+)
 TITLES = ("Dr", "Mr", "Mrs", "Ms", "Prof", "Sir", "Miss")
 FUNCTION_CHARS = "的了是在和就不也都把被让给吗吧呢啊说有没这那与或及要会能去来格"
 STREETS = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.?|Close|Court|Ct\.?|Place|Pl\.?|Way|Boulevard|Blvd\.?|Square|Sq\.?|Terrace|Row|Crescent|Parade|Highway|Hwy\.?)"
@@ -57,6 +56,30 @@ EMAILS = {
     "word": re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL} (?:AT|at) {_LABEL}(?: (?:DOT|dot) {_LABEL})* (?:DOT|dot) [A-Za-z]{{2,24}}(?![A-Za-z0-9])"),
     "spaced": re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL} @ {_LABEL}(?: \. {_LABEL})* \. [A-Za-z]{{2,24}}(?![A-Za-z0-9])"),
 }
+# Last labels of domains, by which an address is told from a word that runs on after it.
+LAST_LABELS = frozenset(
+    "com net org edu gov mil int info biz name pro io co ai app dev xyz site online shop club top vip me tv cc eu uk de fr es it nl be ch at se no dk fi pl cz pt gr ie ru ua tr il ae sa za ng ke eg in pk bd lk "
+    "cn hk tw mo jp kr sg my th vn ph id au nz ca us mx br ar cl example invalid test localhost local".split()
+)
+
+
+def _emails(m: re.Match, k: str) -> Iterator[Span]:
+    """The whole match, and what ends in a known last label where more letters run on."""
+    whole = m.group()
+    label = re.search(r"[A-Za-z]+$", whole).group()
+    rest = len(whole) - len(label)
+    for n in range(2, len(label) + 1):
+        head, cut = label[:n], n < len(label)
+        if cut and head.lower() not in LAST_LABELS:
+            continue
+        f = ["EMAIL", f"email {k}", "label known" if head.lower() in LAST_LABELS else "label unknown"]
+        if cut:
+            f.append("letters run on, new case" if label[n].isupper() and head.islower() else "letters run on")
+        elif head.islower() != head.isalpha() and not head.isupper():
+            f.append("case changes inside")
+        yield Span(m.start(), m.start() + rest + n, "EMAIL", tuple(f))
+
+
 _NB, _NA = r"(?<![0-9A-Za-z])(?<![0-9][-.])", r"(?![0-9])(?![-.][0-9])"
 _CC = r"(?:\(\+?86\)|\+86|0086|86)[- ]?"
 PHONES = {
@@ -73,7 +96,11 @@ IDS = {
 }
 _UNIT = r"(?:号楼|号院|号|栋|幢|座|单元|室|层|楼|弄)"
 _ROAD_NO = re.compile(rf"(?:大道|路|街|巷|弄|胡同|道)([0-9]{{1,5}}(?:号院|号楼|号|弄|栋|幢)(?:[- ]?[0-9A-Za-z]{{1,5}}{_UNIT})*)")
-_PLACES = re.compile(rf"((?:[{_HAN}]{{2,3}}省)?(?:[{_HAN}]{{2,3}}市)?(?:[{_HAN}]{{2,3}}[区县镇乡])?)([{_HAN}]{{2,3}}[东南西北中]?(?:大道|路|街|巷|弄|胡同|道))$")
+#: Characters of a place's or road's name before its suffix: the longest names of provinces and prefectures have six.
+_PLACE = f"[{_HAN}]{{2,6}}"
+_PLACES = re.compile(rf"((?:{_PLACE}省)?(?:{_PLACE}市)?(?:{_PLACE}[区县镇乡])?)({_PLACE}[东南西北中]?(?:大道|路|街|巷|弄|胡同|道))$")
+#: What province, city, district and road can hold together by that pattern.
+_PLACES_MOST = 3 * 7 + 6 + 1 + 2
 ENGLISH_ADDRESS = re.compile(rf"(?<![0-9A-Za-z.,-])[0-9]{{1,5}}[A-Z]?(?: [A-Z][a-z'’]+){{1,4}}?,? {STREETS}(?:,? (?:Unit|Apt\.?|Flat|Suite|Room|No\.|#) ?[0-9]{{1,5}}[A-Z]?)?(?:,(?: [A-Z][a-z'’]+){{1,3}},?(?: [A-Z]{{2}})? [0-9]{{4,6}}(?:-[0-9]{{4}})?)?(?![0-9])")
 
 
@@ -98,14 +125,29 @@ def check_digit_ok(number: str) -> bool:
     return "10X98765432"[sum(int(c) * pow(2, 17 - i, 11) for i, c in enumerate(d[:17])) % 11] == d[17]
 
 
-def _cue(text: str, start: int, cues: Iterable[str], reach: int = 14) -> bool:
-    left = text[max(0, start - reach) : start].lower().rstrip(" :：(（【[")
-    return any(left.endswith(c) for c in cues)
+_LATIN_BEFORE, _LATIN_AFTER = re.compile(r"[a-z]{1,20}$"), re.compile(r"[a-z]{1,20}")
+_GAP = " :：(（【[#\"“-—/、,，。.)）】]"
 
 
-def _near(text: str, start: int, cues: Iterable[str], reach: int = 14) -> bool:
-    left = text[max(0, start - reach) : start].lower()
-    return any(c in left for c in cues)
+def _kind_of(c: str) -> str:
+    return "han" if "一" <= c <= "鿿" else "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if c.isspace() else c
+
+
+def around(t: str, s: int, e: int, kind: str) -> list[str]:
+    """Features of what stands before and after a span: the neighbouring character, then the nearest word, or one and two characters of a script without words."""
+    out = []
+    left, right = t[max(0, s - 32) : s].lower(), t[e : e + 32].lower()
+    for side, near, rest in (("<", left[-1:], left.rstrip(_GAP)), (">", right[:1], right.lstrip(_GAP))):
+        out.append(f"{kind}{side}{_kind_of(near) if near else 'edge'}")
+        if not rest:
+            continue
+        word = (_LATIN_BEFORE.search(rest) if side == "<" else _LATIN_AFTER.match(rest))
+        if word:
+            out.append(f"{kind}{side}{side}{word.group()}")
+        else:
+            one, two = (rest[-1:], rest[-2:]) if side == "<" else (rest[:1], rest[:2])
+            out += [f"{kind}{side}{side}{one}", f"{kind}{side}{side}{two}"]
+    return out
 
 
 class Names:
@@ -130,18 +172,18 @@ class Names:
                     if len(given) < n or not all("一" <= c <= "鿿" for c in given):
                         continue
                     s, e = m.start(), m.end() + n
-                    f = ["NAME", f"han{n}", "given known" if given in self.given else "given unknown"]
+                    f = ["NAME", f"han{n}", "given known" if given in self.given else f"han{n} given unknown"]
                     if any(c in FUNCTION_CHARS for c in given):
                         f.append("function char")
                     yield Span(s, e, "NAME", tuple(f + self._around(t, s, e)))
         if self.latin:
             for m in self.latin.finditer(t):
                 for middle, pattern in enumerate(self.before):
-                    b = pattern.search(t, max(0, m.start() - 48), m.start())
+                    b = pattern.search(t, _tokens_back(t, m.start(), middle + 4), m.start())
                     if b and b.group(1).rstrip(".") not in TITLES:
                         g = b.group(1)
                         f = ["NAME", "initial" if g.endswith(".") else "given first", "given known" if g in self.given else "given unknown"]
-                        f += ["middle initial"] * middle + ["cue word as given"] * (g.lower() in NAME_CUES or g.lower() in CUE_WORDS)
+                        f += ["middle initial"] * middle + ["common word as given"] * (g.lower() in COMMON_WORDS)
                         yield Span(b.start(1), m.end(), "NAME", tuple(f + self._around(t, b.start(1), m.end())))
                 a = self.after.match(t, m.end())
                 if a:
@@ -150,21 +192,23 @@ class Names:
 
     @staticmethod
     def _around(t: str, s: int, e: int) -> list[str]:
-        f = []
-        if _cue(t, s, NAME_CUES):
-            f.append("name cue")
-        right = t[e : e + 10].lstrip(" ，。").lower()
-        if any(right.startswith(c) for c in NAME_AFTER):
-            f.append("name after")
-        if s == 0:
-            f.append("at start")
-        if e == len(t):
-            f.append("at end")
-        elif s == 0 and re.match(r" (?:[+(]{0,2}[0-9]|/ |\S{1,40}@)", t[e : e + 44]):
+        f = around(t, s, e, "NAME")
+        if s == 0 and e == len(t):
+            f.append("whole field")
+        elif s == 0 and re.match(r" (?:[+(]{0,2}[0-9]|/ |\S{1,64}@)", t[e : e + 70]):
             f.append("contact follows")
         return f
 
 
+def _tokens_back(t: str, at: int, n: int) -> int:
+    """Where the n-th last token before a position begins."""
+    for _ in range(n):
+        at = t.rfind(" ", 0, at)
+        if at < 0:
+            return 0
+    return at + 1
+
+
 def candidates(text: str, names: Names) -> list[Span]:
     """All candidate segments of a text, by end."""
     t = narrow(text)
@@ -172,43 +216,38 @@ def candidates(text: str, names: Names) -> list[Span]:
     low = t.lower()
     if "@" in t or " at " in low or "at]" in low or "at)" in low or "at}" in low or "at>" in low or "艾特" in t or "#at#" in t:
         for k, p in EMAILS.items():
-            out += (Span(m.start(), m.end(), "EMAIL", ("EMAIL", f"email {k}")) for m in p.finditer(t))
+            for m in p.finditer(t):
+                out += _emails(m, k)
     if any(c.isdigit() for c in t):
         for k, p in PHONES.items():
             for m in p.finditer(t):
-                if k == "bare10" and not _cue(t, m.start(), PHONE_CUES):
-                    continue  # ten digits alone are a phone number only right after a word for one
-                f = ["PHONE", f"phone {k}"]
-                if _near(t, m.start(), PHONE_CUES):
-                    f += ["phone cue", f"phone {k} cue"]
-                if _cue(t, m.start(), NUMBER_TRAPS):
-                    f += ["phone trap", f"phone {k} trap"]
                 digits = sum(c.isdigit() for c in m.group())
-                f.append("digits ok" if 10 <= digits <= 14 else "digits odd")
-                out.append(Span(m.start(), m.end(), "PHONE", tuple(f)))
+                f = ["PHONE", f"phone {k}", "digits ok" if 10 <= digits <= 14 else "digits odd"]
+                near = around(t, m.start(), m.end(), "PHONE")
+                out.append(Span(m.start(), m.end(), "PHONE", tuple(f + near + [f"{k} {x}" for x in near if "<<" in x])))
         for k, p in IDS.items():
             for m in p.finditer(t):
-                f = ["ID", k]
+                f = ["ID", k, *around(t, m.start(), m.end(), "ID")]
                 if k == "id18":
                     f.append("check ok" if check_digit_ok(m.group()) else "check wrong")
-                if _near(t, m.start(), ID_CUES):
-                    f.append("id cue")
-                if _cue(t, m.start(), NUMBER_TRAPS):
-                    f.append("id trap")
                 out.append(Span(m.start(), m.end(), "ID_NUMBER", tuple(f)))
         for m in _ROAD_NO.finditer(t):
             out += _han_addresses(t, m)
         for m in ENGLISH_ADDRESS.finditer(t):
-            f = ["ADDRESS", "street"] + ["postcode"] * bool(re.search(r" [0-9]{4,6}$", m.group())) + ["address cue"] * _cue(t, m.start(), ADDRESS_CUES)
+            f = ["ADDRESS", "street"] + ["postcode"] * bool(re.search(r" [0-9]{4,6}$", m.group()))
             out.append(Span(m.start(), m.end(), "ADDRESS", tuple(f)))
     out += names.spans(t)
-    return sorted((s for s in out if s.end - s.start <= MAX_SPAN), key=lambda s: (s.end, s.start))
+    one: dict[tuple[int, int, str], tuple[str, ...]] = {}
+    for x in out:  # a span that several patterns propose is one candidate with the features of all
+        k = x.start, x.end, x.kind
+        one[k] = tuple(dict.fromkeys((*one.get(k, ()), *x.features)))
+    return sorted((Span(*k, f) for k, f in one.items()), key=lambda s: (s.end, s.start))
 
 
 def _han_addresses(t: str, m: re.Match) -> Iterator[Span]:
     """An address ends at its numbers; where it begins is a choice among the place names before them."""
     road_end = m.start(1)
-    left = t[max(0, road_end - 24) : road_end]
+    left = t[max(0, road_end - _PLACES_MOST) : road_end]
     base = road_end - len(left)
     for at in range(len(left)):
         p = _PLACES.match(left, at)
@@ -220,13 +259,16 @@ def _han_addresses(t: str, m: re.Match) -> Iterator[Span]:
             if suffix in head:
                 f.append(name)
         stem = re.sub(r"[东南西北中]?(?:大道|路|街|巷|弄|胡同|道)$", "", road)
-        f.append("two-character road" if len(stem) == 2 else "long road")
         lengths = [len(x) for x in re.split("[省市区县镇乡]", head)[:-1]]
-        f.append("two-character places" if all(n == 2 for n in lengths) else "long places")
+        f += [f"road of {min(len(stem), 4)}", *(f"place of {min(n, 4)}" for n in lengths)]
+        if lengths:
+            f.append(f"first place of {min(lengths[0], 4)}")
         if any(c in "省市区县" for c in stem):
             f.append("place inside road")
-        if _cue(t, base + at, ADDRESS_CUES) or base + at == 0 or not ("一" <= t[base + at - 1] <= "鿿"):
-            f.append("address cue")
+        before = t[base + at - 1 : base + at]
+        f.append("address<" + (_kind_of(before) if before else "edge"))
+        if before:
+            f.append(f"address<<{before}")
         yield Span(base + at, m.end(1), "ADDRESS", tuple(f))
 
 
@@ -290,24 +332,32 @@ class SemiCRF:
             g[j[i]] += p[i]
         return p
 
-    def fit(self, data: list[tuple[list[Span], set[tuple[int, int, str]]]], epochs: int = 30, rate: float = 0.5, shrink: float = 0.01) -> "SemiCRF":
-        """Adagrad on the likelihood of the labelled segmentations."""
-        seen: dict[str, float] = defaultdict(float)
-        w = defaultdict(float, self.w)
-        self.w = w
+    def fit(self, data: list[tuple[list[Span], set[tuple[int, int, str]]]], epochs: int = 40, rate: float = 0.08, shrink: float = 0.0003, batch: int = 32) -> "SemiCRF":
+        """Adam on the mean log likelihood of the labelled segmentations less ``shrink`` times the squared weights.
+
+        Features of fewer than ``FEW`` candidates get no weight.
+        """
+        often = Counter(f for spans, _ in data for s in spans for f in s.features)
+        names = sorted(f for f, k in often.items() if k >= FEW)
+        at = {f: i for i, f in enumerate(names)}
+        data = [(spans, [[at[f] for f in s.features if f in at] for s in spans], gold) for spans, gold in data if spans]
+        w = np.array([self.w.get(f, 0.0) for f in names])
+        m, v, t = np.zeros_like(w), np.zeros_like(w), 0
+        order, steps = np.random.default_rng(3), epochs * -(-len(data) // batch)
         for _ in range(epochs):
-            for spans, gold in data:
-                grad: dict[str, float] = defaultdict(float)
-                for s, p in zip(spans, self.marginals(spans)):
-                    d = float((s.start, s.end, s.kind) in gold) - p
-                    for f in s.features:
-                        grad[f] += d
-                for f, d in grad.items():
-                    d -= shrink * w[f]
-                    seen[f] += d * d
-                    if seen[f]:
-                        w[f] += rate * d / (seen[f] ** 0.5 + 1e-6)
-        self.w = dict(w)
+            for part in np.array_split(order.permutation(len(data)), -(-len(data) // batch)):
+                self.w = dict(zip(names, w.tolist()))
+                grad = -2 * shrink * w
+                for i in part:
+                    spans, features, gold = data[i]
+                    for s, fs, p in zip(spans, features, self.marginals(spans)):
+                        d = (float((s.start, s.end, s.kind) in gold) - p) / len(part)
+                        for f in fs:
+                            grad[f] += d
+                t += 1
+                m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+                w = w + rate * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        self.w = dict(zip(names, w.tolist()))
         return self
 
 

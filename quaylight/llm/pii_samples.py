@@ -14,6 +14,15 @@ NAMES = Names(["欧阳", "司马", "上官", "Harborwick", "Linfield", "Stonemar
 _OTHER_GIVEN = ["清和", "致远", "Quillon", "Bexley"]
 
 
+def _word(r: random.Random) -> str:
+    """Letters without meaning, so that no context of them is learned."""
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+
+
+def _han(r: random.Random) -> str:
+    return "".join(chr(r.randint(0x4E00, 0x8FFF)) for _ in range(3))
+
+
 def _digits(r: random.Random, n: int, first: str = "0123456789") -> str:
     return r.choice(first) + "".join(r.choice("0123456789") for _ in range(n - 1))
 
@@ -30,7 +39,7 @@ def _id18(r: random.Random, good: bool) -> str:
 
 def _email(r: random.Random) -> str:
     local = "".join(r.choice("abcdefgh") for _ in range(6)) + r.choice(["", "12", ".x", "_y", "+tag"])
-    dom, tld = r.choice(["web", "site", "firm"]), r.choice(["org", "net"])
+    dom, tld = r.choice(["web", "site", "firm"]), r.choice(["org", "net", "com", "io", "company", "center"])
     return r.choice([f"{local}@{dom}.{tld}", f"{local}@a.{dom}.{tld}", f"{local}＠{dom}.{tld}", f"{local}(at){dom}.{tld}", f"{local} [at] {dom} [dot] {tld}", f"{local} AT {dom} DOT {tld}", f"{local} @ {dom} . {tld}"])
 
 
@@ -62,30 +71,32 @@ def _latin_name(r: random.Random) -> str:
 
 
 _HAN_FRAMES = {
-    "EMAIL": ["邮箱：{}，备注。", "写信给 {} 。", "发到{}就行。"],
-    "PHONE": ["电话{}，微信同号。", "tel:{}", "短信发{}没人回。", "打 {} 找他。"],
-    "ID_NUMBER": ["身份证{}已经提交。", "证件号 {}，请核对。", "（号码{}）没过。"],
-    "ADDRESS": ["地址：{}，放门口。", "寄到{}。", "线下见面在{}，别迟到。", "发票寄 {} 收。"],
-    "NAME": ["收货人{}，谢谢。", "找 {} 对接。", "是{}老师审的稿。", "{}先生说可以。", "已抄送【{}】。", "联系人：{}。", "{}", "{}", "{} / admin", "{}（群主）", "{} 13800138000", "{} +86-138-0013-8000"],
+    "EMAIL": ["邮件请寄往{}谢谢", "我的信箱是{}，欢迎来信。", "附件已转给{}了。", "客服信箱 {}"],
+    "PHONE": ["手机号：{}。", "请拨打{}咨询。", "热线 {} 全天有人。", "有急事联系我{}！", "微信和手机都是{}，", "加我 {} 细说。", "她的号码是{}。", "给{}发消息就行。"],
+    "ID_NUMBER": ["公民身份号码{}，已核验。", "登记用的身份证是{}。", "社保号 {} 已录入。", "附证件号码：{}。"],
+    "ADDRESS": ["门店位于{}，周一休息。", "请送到{}前台。", "家住{}。", "公司搬去了{}！", "会场：{}。", "收货地址是{}，谢谢。", "仓库设于{}旁边。", "户籍所在地为{}。", "从{}出发。", "快递发往 {} 就好。"],
+    "NAME": ["作者：{}。", "负责人是{}，有事问。", "请联系{}。", "昨天{}女士来过。", "{}教授的讲座改期了。", "由{}主持会议。", "感谢{}的帮助。", "签名：{}", "我和{}一起去。", "（转自{}）", "「{}」已加入", "听{}说过这件事。", "{}先生来电了。", "{}老师的课很满。", "{}经理批准了。", "{}博士到场。", "{}小姐留言。", "【{}】发言：", "与会者有{}、", "问 {} 就行。", "见 {} 一面。", "{}", "{}", "{}", "{}", "{} (店长)", "{} / 值班", "{}（助教）", "{} 13900139000", "{} +86 139 0013 9000", "{} 202-555-0143"],
 }
 _LATIN_FRAMES = {
-    "EMAIL": ["Send it to {}, please.", "Contact: {}.", "I wrote to {} twice."],
-    "PHONE": ["Call {} after six.", "Phone: {}.", "My number is {}, text only."],
-    "ID_NUMBER": ["ID no. {}, copied.", "SSN on file: {}."],
-    "ADDRESS": ["Address: {}, ring twice.", "Ship it to {}.", "We meet at {}, second floor."],
-    "NAME": ["Ask {} about it.", "cc {}, thanks.", "Signed by {}.", "Dr. {} confirmed the date.", "{}", "{}", "{}", "{} abc@web.org"],
+    "EMAIL": ["Reach me under {} any time.", "Mail {} for details.", "The address {} bounced."],
+    "PHONE": ["Mobile: {}, evenings only.", "You can ring {} at noon.", "Text me on {}.", "Tel. {}", "Dial {} now.", "Telephone {} for help.", "Reachable under {}."],
+    "ID_NUMBER": ["Social security number {} was verified.", "Identity card: {}.", "Passport holder's number is {}."],
+    "ADDRESS": ["Our office is {}, ground floor.", "Deliver to {} today.", "She lives at {}.", "Visit us: {}."],
+    "NAME": ["Written by {} last year.", "Please talk to {} first.", "Regards, {}", "{} joined the call.", "Professor {} agreed.", "Mr. {} signed the form.", "according to {}, it works.", "{}", "{}", "{}", "{} xyz@mail.org", "{} / owner", "The award goes to {}."],
 }
 _TRAPS = [
-    lambda r: f"单号{_digits(r, 10, '8')}已揽收。", lambda r: f"Order {_digits(r, 10, '8')} shipped.", lambda r: f"订单 {_digits(r, 20, '2')} 没发货。", lambda r: f"会议号 {_digits(r, 4)}-{_digits(r, 4)}。",
-    lambda r: f"版本 {r.randint(1, 99)}.{r.randint(1, 99)}.{r.randint(1, 99)} 有问题。", lambda r: f"ip 10.{r.randint(1, 99)}.{r.randint(1, 99)}.{r.randint(1, 99)} 已封。", lambda r: f"流水 {_id18(r, False)} 对不上。",
-    lambda r: "欧阳格的攻略别信。", lambda r: "上官方的说法是真的。", lambda r: "司马的稿子还没来。", lambda r: "在槐花街附近吃饭。", lambda r: f"Due 2025-{r.randint(1, 12):02}-11.", lambda r: "@somebody 看下置顶", lambda r: "See @tobin for the thread.",
-    lambda r: "Mr. Linfield is late.", lambda r: "Ask Linfield about it.", lambda r: "The Harborwick report is out.", lambda r: f"价格 {r.randint(1000, 99999)} 起。", lambda r: f"Hash {_digits(r, 8)}ff was reverted.", lambda r: f"Ref {_digits(r, 10, '789')} again.",
+    lambda r: f"快件{_digits(r, 10, '6789')}正在派送。", lambda r: f"Tracking {_digits(r, 10, '6789')} was delivered.", lambda r: f"编码 {_digits(r, 20, '3')} 已失效。", lambda r: f"桌号 {_digits(r, 4)}-{_digits(r, 4)}。", lambda r: f"工单{_digits(r, 10, '6789')}已关闭。",
+    lambda r: f"固件升到 {r.randint(1, 99)}.{r.randint(1, 99)}.{r.randint(1, 99)} 就好。", lambda r: f"网关是 172.{r.randint(16, 31)}.{r.randint(1, 99)}.{r.randint(1, 99)}。", lambda r: f"交易码 {_id18(r, False)} 无效。", lambda r: f"Batch {_id18(r, False)} failed.", lambda r: f"Job {_digits(r, 10, '6789')} is queued.",
+    lambda r: "欧阳会的人都走了。", lambda r: "上官有两个版本。", lambda r: "司马和他都不在。", lambda r: "欧阳在楼下。", lambda r: "上官说的对。", lambda r: "司马把票退了。", lambda r: "听说欧阳的车坏了。", lambda r: "柳树巷附近很堵。", lambda r: "从解放大道走更快。", lambda r: f"On 2023-{r.randint(1, 12):02}-19 we moved.", lambda r: "@someone 请看公告", lambda r: "Ping @tobin later.",
+    lambda r: "Mrs. Linfield left early.", lambda r: "We met Linfield there.", lambda r: "A Harborwick spokesman declined.", lambda r: "The Stonemarsh office moved.", lambda r: f"售价 {r.randint(1000, 99999)} 元。", lambda r: f"Commit {_digits(r, 8)}ee broke it.", lambda r: f"Case {_digits(r, 10, '6789')} reopened.",
+    lambda r: f"{_word(r)} {_digits(r, 10, '23456789')} {_word(r)}.", lambda r: f"{_han(r)}{_digits(r, 10, '23456789')}{_han(r)}。", lambda r: f"{_word(r)} {_digits(r, 10, '23456789')} {_word(r)}.", lambda r: f"{_han(r)} {_digits(r, 10, '23456789')} {_han(r)}。",
 ]
 
 
-def labelled(n: int = 900, seed: int = 5) -> list[tuple[str, set[tuple[int, int, str]]]]:
-    """Texts with their labelled segments (start, end, kind)."""
+def labelled(n: int = 1800, seed: int = 5, frames: tuple[dict, dict] | None = None) -> list[tuple[str, set[tuple[int, int, str]]]]:
+    """Texts with their labelled segments (start, end, kind), by the frames of this module or others (Chinese, English)."""
     r = random.Random(seed)
+    han_frames, latin_frames = frames or (_HAN_FRAMES, _LATIN_FRAMES)
     out = []
     for _ in range(n):
         text, gold = "", set()
@@ -93,7 +104,7 @@ def labelled(n: int = 900, seed: int = 5) -> list[tuple[str, set[tuple[int, int,
             if r.random() < 0.4:
                 text += r.choice(_TRAPS)(r)
             else:
-                kind = r.choice(list(_HAN_FRAMES))
+                kind = r.choice(list(han_frames))
                 han = r.random() < 0.5
                 if kind == "NAME":
                     item = _han_name(r) if han else _latin_name(r)
@@ -101,12 +112,12 @@ def labelled(n: int = 900, seed: int = 5) -> list[tuple[str, set[tuple[int, int,
                     item = _id18(r, True) if r.random() < 0.6 else "-".join([_digits(r, 3), _digits(r, 2), _digits(r, 4)])
                 else:
                     item = {"EMAIL": _email, "PHONE": _phone, "ADDRESS": _address}[kind](r)
-                frame = r.choice((_HAN_FRAMES if han else _LATIN_FRAMES)[kind])
-                if frame[0] != "{" or frame.startswith("{}先") or not text:
+                frame = r.choice((han_frames if han else latin_frames)[kind])
+                if frame[0] != "{" or len(frame) > 24 or not text:
                     pre, post = frame.split("{}")
-                    if "138" in post:
+                    if "139" in post or "555" in post:
                         gold.add((len(item) + 1, len(item) + len(post), "PHONE"))
-                    if "abc@" in post:
+                    if "xyz@" in post:
                         gold.add((len(item) + 1, len(item) + len(post), "EMAIL"))
                     gold.add((len(text) + len(pre), len(text) + len(pre) + len(item), kind))
                     text += pre + item + post
