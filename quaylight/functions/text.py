@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,31 +10,23 @@ MAX_NORM_CHARS = 1500
 HEADER_MARKS = ("📢", "📄", "🌱", "📋", "🔁", "⚠", "🚨", "✅")
 AUTHOR_MARK = "👤 "
 
-# Shapes of links and clock times.
-_LINK = re.compile(r"\[([^\]\n]+)\]\((https?://[^)\s]+)\)")
-_URL = re.compile(r"https?://\S+")
-_CLOCK = re.compile(r"(?<!\d)[0-2]?\d:[0-5]\d(?!\d)")
-
-
-def card_body(text: str | None) -> str:
-    """A card without header line, author line, links' targets and clock times; at most 1,500 characters."""
-    lines = (text or "").strip().splitlines()
-    if lines and lines[0].strip().startswith(HEADER_MARKS):
-        lines = lines[1:]
-    body = "\n".join(x for x in lines if not x.strip().startswith(AUTHOR_MARK))
-    for pattern, to in ((_LINK, r"\1"), (_URL, " "), (_CLOCK, " ")):
-        body = pattern.sub(to, body)
-    return " ".join(body.split())[:MAX_NORM_CHARS]
+# Shapes of links and clock times, ends of lines.
+_LINK = r"\[([^\]\n]+)\]\((https?://[^)\s]+)\)"
+_URL = r"https?://\S+"
+_CLOCK = r"(?<!\d)[0-2]?\d:[0-5]\d(?!\d)"
+_EOL = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 
 
 def card_body_col(text: Column) -> Column:
-    """``card_body`` of a column; null gives an empty text."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(card_body)
-
-    return run(F.coalesce(text.cast("string"), F.lit("")))
+    """A card without header line, author lines, links' targets and clock times, blanks made one; at most 1,500 characters.  Null gives an empty text."""
+    unicode = lambda p: f"(?U){p}"
+    blank = f"[\\s&&[^{_EOL}]]*"
+    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), unicode(r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"), "")
+    t = F.regexp_replace(t, f"^(?:{'|'.join(HEADER_MARKS)})[^{_EOL}]*", "")
+    t = F.regexp_replace(t, unicode(f"(?<=^|[{_EOL}]){blank}{AUTHOR_MARK}(?=[^{_EOL}]*\\S)[^{_EOL}]*"), "")
+    for pattern, to in ((_LINK, "$1"), (_URL, " "), (_CLOCK, " "), (r"[\s\x1c-\x1f]+", " ")):
+        t = F.regexp_replace(t, unicode(pattern), to)
+    return F.substring(F.trim(t), 1, MAX_NORM_CHARS)
 
 
 def squeezed(text: str) -> str:

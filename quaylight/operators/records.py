@@ -75,6 +75,22 @@ def resolved_targets(signals: DataFrame, target: str, *tables: DataFrame) -> Dat
     return j.select(*signals.columns, F.floor(F.col("r.rank") / 2).cast("int").alias("table_no"), F.col("r.id").alias("id"))
 
 
+# What a signal's confidence does.
+SIGNAL_STATUS = {"high": "dead", "medium": "likely_dead"}
+
+
+def signal_marks(signals: DataFrame, *tables: DataFrame) -> DataFrame:
+    """table_no, id, order, status, death_signal of signals (order, target, confidence, signal): what is to be marked by them.
+
+    A signal of another confidence, without target, or whose target is found nowhere marks nothing; one without text leaves an empty one.
+    """
+    confidence = F.lower(F.col("confidence"))
+    status = F.coalesce(*[F.when(confidence == k, v) for k, v in SIGNAL_STATUS.items()])
+    s = signals.withColumn("status", status).where("status is not null and trim(target) <> ''")
+    found = resolved_targets(s, "target", *tables).where("id is not null")
+    return found.select("table_no", "id", "order", "status", F.coalesce("signal", F.lit("")).alias("death_signal"))
+
+
 def valid_quotes(quotes: DataFrame, messages: DataFrame, most: int = 3, shortest: int = 6, longest: int = 160) -> DataFrame:
     """Quotes that stand in a message of their span but for white space: span, msg_id, sender, quote (as the message has it).
 

@@ -12,15 +12,20 @@ LOCAL_ZONE = "Asia/Shanghai"
 
 
 def chat_ids(chat: int | str) -> list[int]:
-    """The spellings under which one chat is stored: as given, without sign, with and without its -100 prefix."""
+    """The spellings under which one chat is stored: as given, without sign, and without its prefix 100 or, lacking one, with it in both signs."""
     n = int(chat)
     digits = str(abs(n))
-    out = {n, abs(n)}
-    if digits.startswith("100") and len(digits) > 3:
-        out.add(int(digits[3:]))
-    else:
-        out.add(int(f"-100{digits}"))
-    return sorted(out)
+    long = int(f"100{digits}")
+    return sorted({n, abs(n)} | ({int(digits[3:])} if digits.startswith("100") and len(digits) > 3 else {long, -long}))
+
+
+def chat_ids_col(chat: Column) -> Column:
+    """``chat_ids`` of a column, as a sorted array; null where it is no number."""
+    n = chat.cast("string").try_cast("bigint")
+    digits = F.abs(n).cast("string")
+    long = F.concat(F.lit("100"), digits).try_cast("bigint")
+    other = F.when(digits.rlike("^100."), F.array(F.substring(digits, 4, 20).try_cast("bigint"))).otherwise(F.array(long, -long))
+    return F.when(n.isNotNull(), F.array_sort(F.array_distinct(F.concat(F.array(n, F.abs(n)), other))))
 
 
 def day_window(df: DataFrame, ts: str, since: str, until: str, zone: str = LOCAL_ZONE) -> Column:

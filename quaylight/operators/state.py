@@ -1,14 +1,19 @@
-"""Keyed tables kept as versioned folders: appended, folded and pruned by whole-version writes.
+"""Keyed tables kept as versions: appended, folded, marked and pruned by whole-version writes.
 
-A version is written in full beside the others and becomes current by the last step, the
-write of its marker; a run that dies before leaves the old version current.
+A version is written in full to a folder of its own and becomes current by the last step, which takes
+its number: a small file under a name that must be free.  A run that dies before leaves the old version
+current, and of two writers of one version the second fails.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaylight.session import read_text, write_new
+
 
 class VersionedTable:
     """A table of which each write is a new version; readers see the last complete one."""
@@ -21,23 +26,25 @@ class VersionedTable:
 
     def version(self) -> int:
         """The last complete version, 0 if there is none."""
-        p = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        p = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
         if not self._fs.exists(p):
             return 0
         names = [s.getPath().getName() for s in self._fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=0)
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
+    def read(self, version: int | None = None) -> DataFrame | None:
+        v = version or self.version()
+        return self.spark.read.parquet(f"{self.path}/{read_text(self.spark, f'{self.path}/versions/{v}')}") if v else None
 
     def write(self, df: DataFrame, expect: int | None = None) -> int:
-        """Write the next version; with ``expect``, only if that version is still current."""
-        v = self.version()
-        if expect is not None and v != expect:
-            raise RuntimeError(f"version {v} is current, not {expect}")
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v + 1}")
+        """Write the next version; with ``expect``, only if that version is still current when the number is taken."""
+        v = self.version() if expect is None else expect
+        if self.version() != v:
+            raise RuntimeError(f"version {self.version()} is current, not {v}")
+        folder = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        if not write_new(self.spark, f"{self.path}/versions/{v + 1}", folder):
+            raise RuntimeError(f"version {v + 1} was made by another writer")
         return v + 1
 
 
@@ -86,3 +93,37 @@ def claimed(df: DataFrame, run_id: str, now: str, lease_seconds: int, order: lis
     mine = F.col("__k").isNotNull()
     until = F.lit(now).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lease_seconds))
     return j.withColumn("owner", F.when(mine, F.lit(run_id)).otherwise(F.col("owner"))).withColumn("lease_until", F.when(mine, until).otherwise(F.col("lease_until"))).drop("__k")
+
+
+def _where(mine: Column, **new: Column) -> dict[str, Column]:
+    return {c: F.when(mine, x).otherwise(F.col(c)) for c, x in new.items()}
+
+
+def held(key: str, id_: str, run_id: str) -> Column:
+    """Whether a row is the one named and leased to the run."""
+    return F.coalesce((F.col(key) == id_) & (F.col("status") == "sending") & (F.col("owner") == run_id), F.lit(False))
+
+
+def released(df: DataFrame, key: str, id_: str, run_id: str) -> DataFrame:
+    """A failed claim given back: pending and free again, if the run still holds it."""
+    return df.withColumns(_where(held(key, id_, run_id), status=F.lit("pending"), owner=F.lit(None).cast("string"), lease_until=F.lit(None).cast("timestamp")))
+
+
+def renewed(df: DataFrame, key: str, id_: str, run_id: str, now: str, lease_seconds: int) -> DataFrame:
+    """A lease prolonged from now, if the run still holds it."""
+    until = F.lit(now).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lease_seconds))
+    return df.withColumns(_where(held(key, id_, run_id), lease_until=until))
+
+
+def sent(df: DataFrame, key: str, id_: str, style: str, at: str, run_id: str | None = None) -> DataFrame:
+    """A row marked as sent and its lease ended; with ``run_id`` only if that run holds it."""
+    mine = held(key, id_, run_id) if run_id is not None else F.coalesce(F.col(key) == id_, F.lit(False))
+    none = F.lit(None)
+    return df.withColumns(_where(mine, status=F.lit("sent"), sent_at=F.lit(at), sent_style=F.lit(style), owner=none.cast("string"), lease_until=none.cast("timestamp")))
+
+
+def marked(df: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """Rows with the status and, where one is given, the death signal of their last mark (``key``, order, status, death_signal)."""
+    m = marks.groupBy(F.col(key).alias("__k")).agg(F.max_by("status", "order").alias("__s"), F.max_by("death_signal", F.when(F.col("death_signal").isNotNull(), F.col("order"))).alias("__d"))
+    j = df.join(m, df[key] == F.col("__k"), "left")
+    return j.withColumn("status", F.coalesce("__s", "status")).withColumn("death_signal", F.coalesce("__d", "death_signal")).select(*df.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("data_quality", "messages", "analytics", "star", "streams", "records")
+_MODULES = ("data_quality", "messages", "analytics", "star", "streams", "records", "upkeep")
 
 
 def core_queries() -> dict:

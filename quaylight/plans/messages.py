@@ -276,7 +276,8 @@ def visible_lengths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(markup.visible_text(F.col("text"))).alias("visible"))
 
 
-@query("masked_documents", f"select doc_id, md5(regexp_replace(text, '(?i)({'|'.join(sorted(markup.MASKED_PHRASES, key=len, reverse=True))})', '{markup.MASK}', 'g')) as masked from documents where text is not null")
+@query("masked_documents", """
+select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '护照', '[已脱敏]', 'g'), '签证', '[已脱敏]', 'g'), '美签', '[已脱敏]', 'g'), '留學打工', '[已脱敏]', 'g'), '留学打工', '[已脱敏]', 'g')) as masked from documents where text is not null""")
 def masked_documents(spark: SparkSession, d: str) -> DataFrame:
     """Hashes of texts with sensitive phrases masked."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(markup.masked_phrases(F.col("text"))).alias("masked"))
@@ -290,13 +291,6 @@ def posts_without_promo(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(markup.without_lines(F.col("text"), [r"^#\S", "^https?://"])).alias("kept"))
 
 
-@query("message_part_sizes")
-def message_part_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of documents that fit a message of 3,900 characters."""
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(markup.message_parts_col(F.col("text"), 3900)).alias("part_no", "part"))
-    return t.select("doc_id", "part_no", F.length("part").alias("chars"))
-
-
 @query("scored_contexts", """
 with k as (select seq, local_path, list_filter([%s], lambda w: contains(lower(context), lower(w))) as hits, list_filter([%s], lambda w: contains(lower(context), lower(w))) as low from media_candidates),
 s as (select seq, 0.2 + least(len(hits), 5) * 0.14 + case when local_path is not null then 0.08 else 0 end - case when len(low) > 0 and len(hits) = 0 then 0.2 else 0 end as x, len(hits) as n from k)

@@ -36,14 +36,15 @@ def resolved_targets(spark: SparkSession, d: str) -> DataFrame:
 with s as (select distinct id, quotes from growth_segments), q as (select id as span, unnest(quotes) as q, generate_subscripts(quotes, 1) - 1 as pos from s),
 n as (select span, pos, q.msg_id as named, q.text as t, regexp_replace(q.text, '\\s+', '', 'g') as needle from q), k as (select * from n where length(needle) between 6 and 160),
 m as (select span, pos, q.msg_id as msg_id, q.sender as sender, q.text as content, regexp_replace(q.text, '\\s+', '', 'g') as hay from q),
-h as (select k.span, k.pos, m.msg_id, m.sender, m.content, row_number() over (partition by k.span, k.pos order by (m.msg_id <> k.named), m.msg_id) as rn from k join m on m.span = k.span and contains(m.hay, k.needle)),
-o as (select *, row_number() over (partition by span order by pos) as n from h where rn = 1) select span, cast(pos as int) as pos, msg_id, coalesce(sender, '') as sender from o where n <= 3""")
+h as (select k.span, k.pos, k.needle, m.msg_id, m.sender, m.content, row_number() over (partition by k.span, k.pos order by (m.msg_id <> k.named), m.msg_id) as rn from k join m on m.span = k.span and contains(m.hay, k.needle)),
+o as (select *, row_number() over (partition by span order by pos) as n from h where rn = 1) select span, cast(pos as int) as pos, msg_id, coalesce(sender, '') as sender,
+ regexp_extract(content, array_to_string(list_transform(string_split(needle, ''), lambda c: regexp_escape(c)), '\\s*')) as quote from o where n <= 3""")
 def valid_quotes(spark: SparkSession, d: str) -> DataFrame:
     """Quotes of a segment found again among its messages."""
     s = table(spark, d, "growth_segments").select("id", "quotes").distinct().select(F.col("id").alias("span"), F.posexplode("quotes").alias("pos", "q"))
     q = s.select("span", "pos", "q.msg_id", "q.text")
     m = s.select("span", "q.msg_id", "q.sender", F.col("q.text").alias("content"))
-    return records.valid_quotes(q, m).drop("quote")
+    return records.valid_quotes(q, m)
 
 
 @query("grouped_posts", """

@@ -64,3 +64,16 @@ def longest_by_day(episodes: DataFrame, by: str) -> DataFrame:
     day = F.to_date("ended")
     rest = [c for c in episodes.columns if c != by]
     return episodes.groupBy(by, day.alias("wake_day")).agg(F.max_by(F.struct(*rest), F.struct("asleep", "ended")).alias("__r")).select(by, "wake_day", "__r.*")
+
+
+def workout_summaries(workouts: DataFrame) -> DataFrame:
+    """name, started, ended, duration_min, active_kcal, distance_km of workouts (name, start, end, duration, activeEnergy, totalDistance as text or number).
+
+    Times are of the device's epoch, durations seconds, energy kilojoules; what can't be read counts as 0, and no energy or distance is null.
+    """
+    from quaylight.functions.coerce import device_time
+
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    positive = lambda x: F.when(x > 0, x)
+    name = F.coalesce(F.nullif(F.col("name").cast("string"), F.lit("")), F.lit("Workout"))
+    return workouts.select(name.alias("name"), device_time(F.col("start")).alias("started"), device_time(F.col("end")).alias("ended"), (number("duration") / 60).alias("duration_min"), positive(number("activeEnergy") / 4.184).alias("active_kcal"), positive(number("totalDistance")).alias("distance_km"))

@@ -1,6 +1,7 @@
 """Identity, coercion, markup and JSON functions at their edges."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,8 +80,10 @@ def test_markup(spark):
     assert col(spark, ["<b>a</b> &amp;lt; &gt;"], "string", M.visible_text) == ["a < >"]
     assert col(spark, ["a_b*[c]"], "string", M.escaped_markdown) == [r"a\_b\*\[c\]"]
     assert col(spark, ["[x](https://a.b)"], "string", M.links_as_html) == ['<a href="https://a.b">x</a>']
+    assert col(spark, ['x [a & "b"](https://a.b?c=1&d) & [e](https://f) "', "none", None], "string", M.links_as_html) == ['x <a href="https://a.b?c=1&amp;d">a &amp; &quot;b&quot;</a> & <a href="https://f">e</a> "', "none", None]
+    assert [tuple(x) for x in col(spark, ["<b>x</b>", "<b>" + "y" * 1030 + "</b>"], "string", M.caption)] == [("<b>x</b>", "HTML"), ("y" * 1024, None)]
     assert col(spark, ["a/b:c\\d"], "string", M.safe_file_name) == ["a_b_c_d"]
-    assert col(spark, ["台湾护照和签证"], "string", M.masked_phrases) == [M.MASK + "和" + M.MASK]
+    assert col(spark, ["台湾护照和签证，猪肝护照"], "string", M.masked_phrases) == ["台湾" + M.MASK + "和" + M.MASK + "，猪肝" + M.MASK]
     assert col(spark, ["a\nPROMO x\n\n\n\nb"], "string", lambda x: M.without_lines(x, ["^PROMO"])) == ["a\n\nb"]
     assert col(spark, ["ok", "👍👍", "哈哈哈哈", "有内容的话", None, "中文字"], "string", M.is_low_content) == [True, True, False, False, True, False]
     assert col(spark, ["📢 频道 · 12:30\nx", "📢 @who hi", "👤 up · 3m", "x\n## 今日日报", "⚠ a", "MacRumors", None], "string", M.producer) == ["chatdaily_raw", "x_monitor", "bilibili", "daily_summary", "alert", "macrumors", "other"]
@@ -90,13 +93,51 @@ def test_markup(spark):
     assert col(spark, ["a b\nc d", "xyz"], "string", lambda x: M.verbatim(x, F.lit("bcd"))) == ["b\nc d", None]
 
 
+def cut_in_turn(text, limit):
+    """Parts, one cut after the other."""
+    out = []
+    while len(text) > limit:
+        ends = [i for i in range(limit // 2, limit) if text[i] == "\n"]
+        at = ends[-1] if ends else limit
+        out.append(text[:at].rstrip("\n"))
+        text = text[at:].lstrip("\n")
+    return out + [text] if text or not out else out
+
+
 def test_message_parts(spark):
-    t = "a" * 60 + "\n" + "b" * 60 + "\n\n" + "c" * 250
-    parts = [p for _, p in M.message_parts(t, 100)]
-    assert all(len(p) <= 100 for p in parts) and "".join(parts).replace("\n", "") == t.replace("\n", "")
-    assert list(M.message_parts(None)) == [(0, "")]
-    M.register_message_parts(spark)
-    assert [r.part for r in spark.sql(f"select part from message_parts('{'x' * 25}', 10)").collect()] == ["x" * 10, "x" * 10, "x" * 5]
+    rng = random.Random(4)
+    texts = ["", "x" * 100, "x" * 101, "x" * 100 + "\n\n", "a" * 60 + "\n" + "b" * 60 + "\n\n" + "c" * 250, "\n" * 130 + "z", "😀" * 150 + "\n"]
+    texts += ["".join(rng.choice("ab\n" if rng.random() < 0.3 else "abc") for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    assert col(spark, texts, "string", lambda x: M.message_parts_col(x, 100)) == [cut_in_turn(t, 100) for t in texts]
+    assert col(spark, [None], "string", M.message_parts_col) == [[""]]
+
+
+def test_verbatim(spark):
+    for text, quote, want in [("他说 (a+b)*c 。", "说(a+b)*c", "说 (a+b)*c"), ("x\u3000y z", "xyz", "x\u3000y z"), ("abc", "", None), ("abc", None, None), (None, "a", None), ("a.c", "abc", None), ("a\\b", "a\\b", "a\\b")]:
+        df = spark.createDataFrame([(text, quote)], "t string, q string")
+        assert df.select(M.verbatim(F.col("t"), F.col("q"))).collect()[0][0] == want
+
+
+def test_card_body(spark):
+    from quaylight.functions.text import card_body_col
+
+    texts = ["📢 head\n👤 me\nsee [here](https://a.b/c) https://x.y at 12:30 ok  ", None, " \n ", "x" * 5000, "body\n  👤 up · 3m\nmore", "📢 only", "112:30 and 12:301 and 9:05", "👤 \nx", "a\u3000 b\u2028👤 q\u2028c"]
+    assert col(spark, texts, "string", card_body_col) == ["see here at ok", "", "", "x" * 1500, "body more", "", "112:30 and 12:301 and", "👤 x", "a b c"]
+
+
+def test_summary_parts():
+    ok = "hi\n```markdown concise\nA\n```py\nx\n```\nB\n```\n```markdown detailed\nD\n```json opportunities\n{\"a\": [1,]}\n```\n```json\n{\"checked_claims\": 1"
+    assert J.summary_parts(ok) == ("A\n```py\nx\n```\nB", "D", '{"a":[1]}', '{"checked_claims":1}', "")
+    assert J.summary_parts("nothing") == (None, "", J.NO_OPPORTUNITIES, None, "concise,verification")
+    assert J.summary_parts("```markdown concise\r\nx\r\n```\r\n```json opportunities\nnope\n```\n```json verification\n{}\n```") == ("x", "", J.NO_OPPORTUNITIES, "{}", "opportunities")
+    assert J.summary_parts(None)[0] is None
+
+
+def test_media_of_json(spark):
+    raw = ['{"photo": {"path": "/a/b.JPG", "n": 1}, "x": ["~c.png", "d.png", "/e.txt"]}', "bad", None, '{"webpage": "u"}']
+    assert col(spark, raw, "string", J.image_paths) == [["/a/b.JPG", "~c.png"], [], [], []]
+    assert col(spark, raw, "string", J.has_media) == [True, False, False, True]
+    assert col(spark, raw[:1] + raw[3:], "string", J.media_type) == ["图片", "链接卡片"]
 
 
 def test_json(spark):

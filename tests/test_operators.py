@@ -13,7 +13,7 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def test_chat_ids():
-    assert scan.chat_ids(-1001234) == [-1001234, 1234, 1001234] and scan.chat_ids("77") == [-10077, 77]
+    assert scan.chat_ids(-1001234) == [-1001234, 1234, 1001234] and scan.chat_ids("77") == [-10077, 77, 10077] and scan.chat_ids(-77) == [-10077, -77, 77, 10077]
 
 
 def test_paging_modes(spark):
@@ -66,8 +66,41 @@ def test_versioned_table(spark, tmp_path):
     assert {tuple(r) for r in t.read().collect()} == {("k1", 1), ("k2", 4)}
     with pytest.raises(RuntimeError):
         t.write(a, expect=1)
-    (tmp_path / "t" / "v3").mkdir()  # a run that died
-    assert t.version() == 2
+    (tmp_path / "t" / "data-dead").mkdir()  # a run that died
+    assert t.version() == 2 and {tuple(r) for r in t.read(1).collect()} == {("k1", 1)}
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "t")
+    state.VersionedTable(spark, path).write(spark.createDataFrame([(0,)], "n int"))
+
+    def write(n):
+        try:
+            return state.VersionedTable(spark, path).write(spark.createDataFrame([(n,)], "n int"), expect=1)
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(write, range(1, 5)))
+    assert sorted(x for x in done if x) == [2]
+    assert state.VersionedTable(spark, path).read().collect()[0].n == done.index(2) + 1
+
+
+def test_leases_and_marks(spark):
+    df = spark.createDataFrame([("a", "sending", "r1", None, None), ("b", "sending", "r2", None, None), ("c", "pending", None, None, None)], "id string, status string, owner string, sent_at string, sent_style string").withColumn("lease_until", F.lit("2024-01-01").cast("timestamp"))
+    row = lambda t, k: {r.id: r for r in t.collect()}[k]
+    assert row(state.released(df, "id", "a", "r1"), "a").status == "pending" and row(state.released(df, "id", "a", "r2"), "a").owner == "r1"
+    assert str(row(state.renewed(df, "id", "a", "r1", "2024-06-01 00:00:00", 60), "a").lease_until) == "2024-06-01 00:01:00"
+    assert state.renewed(df, "id", "c", "r1", "2024-06-01", 60).collect() == df.collect()
+    assert row(state.sent(df, "id", "b", "A", "t", "r1"), "b").status == "sending"
+    done = row(state.sent(df, "id", "b", "A", "t", "r2"), "b")
+    assert (done.status, done.owner, done.sent_at, done.lease_until) == ("sent", None, "t", None) and row(state.sent(df, "id", "c", "A", "t"), "c").status == "sent"
+    t = spark.createDataFrame([("x", "active", "old"), ("y", "active", None)], "id string, status string, death_signal string")
+    marks = spark.createDataFrame([("x", 1, "dead", "why"), ("x", 2, "likely_dead", None)], "id string, order int, status string, death_signal string")
+    assert {tuple(r) for r in state.marked(t, marks, "id").collect()} == {("x", "likely_dead", "why"), ("y", "active", None)}
+    assert {tuple(r) for r in state.marked(t, marks.where("false"), "id").collect()} == {("x", "active", "old"), ("y", "active", None)}
 
 
 def test_fold_and_merge(spark):
