@@ -9,7 +9,7 @@ searched for in the fewest parts whose probabilities reach ``coverage``.
 A part is cut into blocks by a hash of the vector, so a part of any size is spread over
 tasks.  A block's distinct vectors are held; rows with the same vector beyond the k + 1 smallest ids can't
 appear in any list, so they are answered at once and not held.  Queries stream past the block.
-With one part (up to ``PART_ROWS`` rows) the search is exhaustive.
+A table of ``PART_ROWS`` rows a part has at least ``LEAST_PARTS`` parts; only one of under 128 rows is searched whole.
 
 Defined results: null, empty, wrong-length, all-zero and non-finite vectors take no part;
 rows that occur twice in full count once; ties in similarity go to the smaller id;
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 PART_ROWS = 4096
 BLOCK_ROWS = 8192
 MAX_PARTS = 1024
+#: Parts of a small table, if it has so many rows for each.
+LEAST_PARTS, ROWS_TO_FIT = 4, 64
 COVERAGE = 0.82
 HIDDEN = 96
 #: Length of the noise added to a unit vector in training: where its neighbours may lie.
@@ -179,10 +181,10 @@ def _units(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _probes(p: np.ndarray, coverage: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and parts of all probes; a row's first is its most probable part."""
+    """Rows and parts of all probes; a row's first is its most probable part.  A coverage of 1 is the exact way: every part."""
     order = np.argsort(-p, axis=1, kind="stable")
     total = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
-    use = np.concatenate([np.ones((len(p), 1), bool), total[:, :-1] < coverage], axis=1)
+    use = np.concatenate([np.ones((len(p), 1), bool), (total[:, :-1] < coverage) | (coverage >= 1)], axis=1)
     r, c = np.nonzero(use)
     return r, order[r, c]
 
@@ -235,7 +237,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 3, dim: int = 48, cov
     """One row a usable vector: id, neighbours (array of similarity, id; best first)."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(f"id is not null and size(v) = {dim}")
     n = rows.count()
-    parts = max(1, min(MAX_PARTS, math.ceil(n / part_rows)))
+    parts = min(MAX_PARTS, max(min(LEAST_PARTS, n // ROWS_TO_FIT), math.ceil(n / part_rows)))
     router, share = None, np.ones(1)
     if parts > 1:
         sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows(parts)).select("v").toArrow()
@@ -263,42 +265,38 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 3, dim: int = 48, cov
             )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, cur, pend_id, pend_v = None, None, [], []
+        block, cur = None, None
 
         def answer(qid: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
             for p, i, s in block.search(qid, q):
                 yield pa.RecordBatch.from_arrays([pa.array(qid[p]), pa.array(s.astype(np.float64)), pa.array(i)], names=["id", "similarity", "neighbour"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if block.base is None:
+        def closed() -> Iterator[pa.RecordBatch]:
+            if block is not None and block.base is None:
                 block.close(dim)
                 yield from answer(*block.base)
-            if pend_id:
-                yield from answer(np.array(pend_id, np.int64), np.frombuffer(b"".join(pend_v), np.float32).reshape(-1, dim))
-                pend_id.clear()
-                pend_v.clear()
 
         for b in batches:
-            done: list[tuple[int, int]] = []
-            for part, blk, late, i, v in zip(*(c.to_pylist() for c in b.columns)):
-                if (part, blk) != cur:
-                    if block is not None:
-                        yield from flush()
-                    block, cur = _Block(k), (part, blk)
-                if late:
-                    if block.base is None:
-                        yield from flush()
-                    pend_id.append(i)
-                    pend_v.append(v)
-                    if len(pend_id) >= 16384:
-                        yield from flush()
-                else:
-                    same = block.add(i, v)
-                    done += [(i, j) for j in same or ()]
+            part, blk, late, ids = (c.to_numpy(zero_copy_only=False) for c in b.columns[:4])
+            vec, done = b.column(4), []
+            q = np.frombuffer(vec.buffers()[2], np.float32, len(ids) * dim, vec.offset * 4 * dim).reshape(-1, dim)
+            # rows come sorted by part, block and lateness: work goes by runs of equal ones
+            new = np.nonzero((part[1:] != part[:-1]) | (blk[1:] != blk[:-1]) | (late[1:] != late[:-1]))[0] + 1
+            for lo, hi in zip([0, *new], [*new, len(ids)]):
+                if (part[lo], blk[lo]) != cur:
+                    yield from closed()
+                    block, cur = _Block(k), (part[lo], blk[lo])
+                if late[lo]:
+                    yield from closed()
+                    yield from answer(ids[lo:hi], q[lo:hi])
+                    continue
+                raw = q[lo:hi].tobytes()
+                w = 4 * dim
+                for n, i in enumerate(ids[lo:hi].tolist()):
+                    done += [(i, j) for j in block.add(i, raw[w * n : w * n + w]) or ()]
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([1.0] * len(done)), pa.array([x[1] for x in done], pa.int64())], names=["id", "similarity", "neighbour"])
-        if block is not None:
-            yield from flush()
+        yield from closed()
 
     routed = rows.mapInArrow(route, "part int, blk int, late tinyint, id long, vec binary")
     grouped = routed.repartition("part", "blk").sortWithinPartitions("part", "blk", "late", "id")

@@ -23,10 +23,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(int(i), None if v is None else [float(y) for y in v], "e") for i, v in rows], "row long, v array<double>, id string")
 
 
-def test_exhaustive_equals_brute_force(spark):
+def test_all_parts_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.standard_normal(8)) for i in range(300)]
-    got = {r.id: [x.id for x in r.neighbours] for r in N.nearest(frame(spark, rows), "row", "v", 3, 8).collect()}
+    got = {r.id: [x.id for x in r.neighbours] for r in N.nearest(frame(spark, rows), "row", "v", 3, 8, coverage=1.0).collect()}
     assert got == brute(rows, 3)
 
 
@@ -40,6 +40,18 @@ def test_routed_recall(spark):
     assert set(got) == set(want) and recall >= 0.9
 
 
+def test_small_tables_are_routed_too(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    rows = [(i, centres[i % 40] + 0.25 * rng.standard_normal(16)) for i in range(600)]
+    fitted = []
+    fit = N.fit_router
+    monkeypatch.setattr(N, "fit_router", lambda x, parts: fitted.append(parts) or fit(x, parts))
+    got = {r.id: {x.id for x in r.neighbours} for r in N.nearest(frame(spark, rows), "row", "v", 3, 16).collect()}
+    want = brute(rows, 3)
+    assert fitted == [4] and sum(len(got[i] & set(w)) for i, w in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
 def test_unusable_and_repeats(spark):
     v = [[1, 0], [2, 0], [0.9, 0.1], [0, 1]]
     rows = list(enumerate(v)) + [(0, v[0]), (9, None), (10, []), (11, [0, 0]), (12, [float("nan"), 1]), (13, [float("inf"), 1]), (14, [1, 2, 3])]
@@ -53,7 +65,7 @@ def test_a_hot_vector_is_answered_exactly(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_ROWS", 64)
     rng = np.random.default_rng(3)
     rows = [(i, [1.0, 2.0, 2.0, 0.0]) for i in range(400)] + [(400 + i, rng.standard_normal(4)) for i in range(300)]
-    got = {r.id: [x.id for x in r.neighbours] for r in N.nearest(frame(spark, rows), "row", "v", 3, 4).collect()}
+    got = {r.id: [x.id for x in r.neighbours] for r in N.nearest(frame(spark, rows), "row", "v", 3, 4, coverage=1.0).collect()}
     assert got == brute(rows, 3)
 
 
@@ -80,5 +92,5 @@ def test_recall_is_measured_against_all(spark):
     rng = np.random.default_rng(8)
     rows = [(i, rng.standard_normal(8)) for i in range(400)] + [(900, None)]
     df = frame(spark, rows)
-    r = N.recall(N.nearest(df, "row", "v", 3, 8), df, "row", "v", 3, 8).first()
+    r = N.recall(N.nearest(df, "row", "v", 3, 8, coverage=1.0), df, "row", "v", 3, 8).first()
     assert (r.queries, r.wanted, r.recall) == (20, 60, 1.0)
