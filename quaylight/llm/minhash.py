@@ -17,7 +17,7 @@ with the rows, so far pairs end inside their group and never reach a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -157,20 +157,22 @@ def _block(c: str) -> Column:
     return F.pmod("hash", F.col(c)).cast("int")
 
 
-def bucket_pairs(rows: DataFrame, block: int | None = None, least: int | None = None) -> DataFrame:
+def bucket_pairs(rows: DataFrame, block: int | None = None, least: int | None = None, value: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Distinct pairs a < b of ids that share a key, of rows (key, id), with or without the sketch's columns.
 
-    With sketches only pairs that agree in ``least`` bits; a row without sketch (null) agrees with all.
+    With sketches only pairs that agree in ``least`` bits; a row without sketch (null) agrees with all.  ``value`` makes a
+    third column ``value`` of the rows' other columns, whose prefixes for a and b it is given.
     """
     block = block or BLOCK
-    sk = [c for c in SKETCH if c in rows.columns]
+    sk = [c for c in rows.columns if c not in ("key", "id")]
     n = _numbered(rows, block, False).select("key", "id", *sk, _block("blocks").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     n = n.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "id", *sk)).alias("l"))
     p = n.select("i", "j", F.explode("l").alias("x"), "l").select("i", "j", "x", F.explode("l").alias("y"))
     p = p.where("(i = j and x.id < y.id) or (i < j and x.own = i and y.own = j)")
-    if sk and least is not None:
-        p = p.where(F.coalesce(agreement([F.col(f"x.{c}") for c in sk], [F.col(f"y.{c}") for c in sk]) >= least, F.lit(True)))
-    return p.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a < b").distinct()
+    if least is not None:
+        p = p.where(F.coalesce(agreement([F.col(f"x.{c}") for c in SKETCH], [F.col(f"y.{c}") for c in SKETCH]) >= least, F.lit(True)))
+    more = [] if value is None else [value("x.", "y.").alias("value")]
+    return p.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), *more).where("a < b").distinct()
 
 
 def bucket_pairs_from(rows: DataFrame, block: int | None = None) -> DataFrame:
