@@ -6,9 +6,8 @@ once per worker and yields the fixed positions of its fields; all rows of a mask
 are then read as one matrix of code points, without a loop over rows.  Wall times
 go through the transition tables of :mod:`quaylight.functions.zones`.
 
-Defined results: null, empty, blank and overlong texts (over ``MAX_CHARS``
-characters after trimming; no timestamp is that long), relative times, times
-without a date and dates that don't exist give null.  Rows are independent, so
+Defined results: null, empty and blank texts, relative times, times
+without a date and dates that don't exist give null; texts are read whole, of any length.  Rows are independent, so
 repeated rows and ties keep their own result; an empty table gives an empty one.
 """
 
@@ -25,7 +24,10 @@ from pyspark.sql import functions as F
 
 from quaylight.functions.zones import ZoneTable
 
-MAX_CHARS = 80
+#: Masks of at most so many characters are kept with their parser; longer ones are matched each time.
+KEPT_MASK = 80
+#: Zones whose transitions are shipped to the tasks; the zone database has some six hundred.
+MOST_ZONES = 10_000
 _MASK = {**{ord(c): "9" for c in "0123456789"}, **{c: "A" for c in range(65, 91)}, **{c: "A" for c in range(97, 123)}}
 
 # Names of months and half days.
@@ -212,16 +214,14 @@ def parse_many(texts: list, zones: list, orders: list, table: ZoneTable) -> tupl
     by_mask: dict[str, list[int]] = {}
     cleaned: list = [None] * n
     for i, t in enumerate(texts):
-        if t is None or len(t) > 4 * MAX_CHARS:
-            continue
-        t = clean(t)
-        if t and len(t) <= MAX_CHARS:
+        t = clean(t or "")
+        if t:
             cleaned[i] = t
             by_mask.setdefault(t.translate(_MASK), []).append(i)
     zones = np.array([z if isinstance(z, str) and z else "UTC" for z in zones], dtype=object).astype(str)
     orders = np.array([o if isinstance(o, str) else "" for o in orders], dtype=object).astype(str)
     for mask, rows in by_mask.items():
-        at = parser_of(mask)
+        at = (parser_of if len(mask) <= KEPT_MASK else parser_of.__wrapped__)(mask)
         if at:
             i = np.array(rows)
             us[i], ok[i] = _parse_mask([cleaned[j] for j in rows], at, zones[i], orders[i], table)
@@ -247,7 +247,9 @@ def normalize_times(df: DataFrame, text: str, source: str, clock: DataFrame, out
     lists twice counts once.  Its zones (one entry each) are read on the driver
     to build the transition tables; a source that is null or not listed counts as UTC.
     """
-    names = [r[0] for r in clock.select("zone").where("zone is not null").distinct().limit(2000).collect()]
+    names = [r[0] for r in clock.select("zone").where("zone is not null").distinct().limit(MOST_ZONES + 1).collect()]
+    if len(names) > MOST_ZONES:
+        raise ValueError(f"more than {MOST_ZONES} zones")
     table = ZoneTable.build(sorted({*names, "UTC"}))
     dim = clock.groupBy(F.col("source").alias("__src")).agg(F.min(F.struct("zone", "date_order")).alias("__clk"))
     joined = df.join(dim, df[source] == F.col("__src"), "left")

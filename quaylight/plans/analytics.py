@@ -124,7 +124,11 @@ def albums_of_messages(spark: SparkSession, d: str) -> DataFrame:
     return sessions.albums(c, "chat_id", "msg_id", "ts", "txt", 600).select("chat_id", "msg_id", "head")
 
 
-@query("budgeted_chunks")
+@query("budgeted_chunks", """
+with recursive d as (select distinct msg_id, producer, ts, text from delivered), o as (select producer, msg_id, length(text) as len, ts, row_number() over (partition by producer order by ts, msg_id) as n, ts - lag(ts) over (partition by producer order by ts, msg_id) as gap from d),
+r as (select producer, n, 0 as chunk, len + 1 as used, msg_id, len from o where n = 1 union all
+ select o.producer, o.n, case when r.used >= 18000 or (r.used >= 12000 and o.gap >= interval 10 minutes) then r.chunk + 1 else r.chunk end, case when r.used >= 18000 or (r.used >= 12000 and o.gap >= interval 10 minutes) then 0 else r.used end + o.len + 1, o.msg_id, o.len from r join o on o.producer = r.producer and o.n = r.n + 1)
+select producer, cast(chunk as bigint) as chunk, count(*) as cards, cast(sum(len) as bigint) as chars, min(msg_id) as first_id from r group by 1, 2""")
 def budgeted_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Cards of a producer in chunks of about 12,000 characters, closed at gaps."""
     t = table(spark, d, "delivered").select("msg_id", "producer", "ts", "text").distinct()

@@ -132,7 +132,11 @@ def last_of_message(spark: SparkSession, d: str) -> DataFrame:
     return dedup.last_wins(table(spark, d, "content_seen").select("chat_id", "msg_id", "seq", "batch_no"), ["chat_id", "msg_id"], ["seq"])
 
 
-@query("owners_in_rolling_window")
+@query("owners_in_rolling_window", """
+with recursive e as (select concat_ws(':', user_id, event_type) as key, ts, event_id, row_number() over (partition by concat_ws(':', user_id, event_type) order by ts, event_id) as n from events where ts is not null),
+a as (select key, ts, event_id, n from e where n = 1 union all
+ select key, ts, event_id, n from (select e.*, row_number() over (partition by e.key order by e.n) as r from a join e on e.key = a.key and e.ts >= a.ts + interval 2 hours) where r = 1)
+select e.key, e.ts, e.event_id, a.event_id as owner from e asof join a on e.key = a.key and e.n >= a.n""")
 def owners_in_rolling_window(spark: SparkSession, d: str) -> DataFrame:
     """Each event with the event of its user and type that opened the two-hour window it falls in."""
     e = table(spark, d, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), "ts", "event_id")
@@ -160,7 +164,12 @@ def known_keys_of_documents(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_owner(t, "key", ["doc_id"]).select("key", F.col("doc_id").alias("owner"), "copies")
 
 
-@query("card_bodies")
+@query("card_bodies", r"""
+with d as (select distinct msg_id, regexp_replace(coalesce(text, ''), '^[\s\pZ\x0b\x1c-\x1f\x{85}]+|[\s\pZ\x0b\x1c-\x1f\x{85}]+$', '', 'g') as t from delivered),
+h as (select msg_id, regexp_replace(regexp_replace(t, '^(?:📢|📄|🌱|📋|🔁|⚠|🚨|✅)[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*', ''), '(^|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])[ \t\x{a0}\x{3000}]*👤 [^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*[^\s\pZ][^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]*', '\1', 'g') as t from d),
+u as (select msg_id, regexp_replace(regexp_replace(t, '\[([^\]\n]+)\]\((https?://[^)\s\pZ]+)\)', '\1', 'g'), 'https?://[^\s\pZ\x0b\x1c-\x1f\x{85}]+', ' ', 'g') as t from h),
+c as (select msg_id, regexp_replace(regexp_replace(t, '(^|\PN)[0-2]?[0-9]:[0-5][0-9](\PN|$)', '\1 \2', 'g'), '(^|\PN)[0-2]?[0-9]:[0-5][0-9](\PN|$)', '\1 \2', 'g') as t from u)
+select msg_id, left(trim(regexp_replace(t, '[\s\pZ\x0b\x1c-\x1f\x{85}]+', ' ', 'g')), 1500) as body from c""")
 def card_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Cards without header, links and clock times."""
     from quaylight.functions.text import card_body_col
@@ -255,13 +264,22 @@ def headed_export_lines(spark: SparkSession, d: str) -> DataFrame:
     return exports.headed_messages(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
 
 
-@query("attachments_in_exports")
+@query("attachments_in_exports", r"""
+with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) as raw, generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r]'), 1) - 1 as line_no from documents where text like '%local_id=%'),
+t as (select doc_id, line_no, trim(raw) as line from l),
+f as (select *, last_value(case when regexp_matches(line, '^### \d{4}-\d{2}-\d{2} (\d{2}:\d{2})$') then regexp_extract(line, '^### \d{4}-\d{2}-\d{2} (\d{2}:\d{2})$', 1) end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as tm from t),
+m as (select doc_id, line_no, coalesce(tm, '') as time, trim(regexp_extract(line, '^\*\*([^*]+)\*\*:\s*(.*)$', 1)) as sender, trim(regexp_extract(line, '^\*\*([^*]+)\*\*:\s*(.*)$', 2)) as message from f where regexp_matches(line, '^\*\*([^*]+)\*\*:\s*(.*)$'))
+select doc_id, cast(line_no as int) as line_no, time, sender, unnest(regexp_extract_all(message, '\[(图片|视频|文件|语音)\]\s*local_id=(\d+)', 1)) as media_type, cast(unnest(regexp_extract_all(message, '\[(图片|视频|文件|语音)\]\s*local_id=(\d+)', 2)) as bigint) as media_id from m where message <> ''""")
 def attachments_in_exports(spark: SparkSession, d: str) -> DataFrame:
     """Attachments that messages of exports name."""
     return exports.media_candidates(table(spark, d, "documents").where("text like '%local_id=%'"), "doc_id", "text")
 
 
-@query("cleaned_exports")
+@query("cleaned_exports", r"""
+with c as (select doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ '(?m)^### \d{4}-\d{2}-\d{2} \d{2}:\d{2}\n\n\[链接\][^\n]*拍了拍[^\n]*\n\n?', '', 'g'), '(?m)^### \d{4}-\d{2}-\d{2} \d{2}:\d{2}\n\n\[系统\][^\n]*\n\n?', '', 'g'),
+ '\[(?:图片|视频|文件|语音|位置|动画表情|音乐|小程序|链接卡片)\]\s*local_id=\d+', '', 'g'), '\[[A-Za-z0-9一-鿿]{1,10}\]', '', 'g'), '(?m)^### \d{4}-\d{2}-\d{2} \d{2}:\d{2}\n\n\*\*[^*]+\*\*:\s*\n\n?', '', 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') as cleaned from documents where kind = 'chat_export')
+select doc_id, cleaned, cast(length(text) - length(cleaned) as int) as removed from c""")
 def cleaned_exports(spark: SparkSession, d: str) -> DataFrame:
     """Chat exports without placeholders, with what was taken away."""
     t = table(spark, d, "documents").where("kind = 'chat_export'")

@@ -57,14 +57,26 @@ def grouped_posts(spark: SparkSession, d: str) -> DataFrame:
     return records.grouped_posts(e).select("seq", "text", F.size("msg_ids").cast("bigint").alias("parts"))
 
 
-@query("digest_sections")
+@query("digest_sections", r"""
+with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) as raw, generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r]'), 1) - 1 as line_no from documents where kind = 'digest' and text is not null),
+t as (select doc_id, line_no, trim(raw) as line from l where trim(raw) <> ''),
+h as (select *, case when line like '#%' then case when regexp_matches(line, '(?i)模型|model|token') then 'models' when regexp_matches(line, '账|额度|account|budget') then 'accounts' when line like '## %' then 'other' else '' end end as head from t),
+s as (select *, last_value(head ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as section from h),
+i as (select doc_id, section, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^- +', ''), '\*\*', '', 'g'), '[ \t]*\[IMG\d+\]', '', 'g'), '\[([^\]\n]+)\]\((https?://[^)\s]+)\)', '\1', 'g')) as item from s where line not like '#%' and section <> '')
+select doc_id, section, list(item order by line_no) as items from i where item <> '' group by 1, 2""")
 def digest_sections(spark: SparkSession, d: str) -> DataFrame:
     """Items of digests under second-level headings, by a word of the heading."""
     t = table(spark, d, "documents").where("kind = 'digest' and text is not null")
     return records.sections(t, "doc_id", "text", {"(?i)模型|model|token": "models", "账|额度|account|budget": "accounts", "^## ": "other"})
 
 
-@query("claims_of_digests")
+@query("claims_of_digests", r"""
+with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) as raw, generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r]'), 1) - 1 as line_no from documents where kind = 'digest' and text is not null),
+t as (select doc_id, line_no, trim(raw) as line from l where regexp_matches(trim(raw), '^-\s+.+$')),
+q as (select doc_id, line_no, trim(regexp_extract(line, '^-\s+\*\*([^*]+)\*\*[：:]', 1)) || ' ' || trim(regexp_replace(line, '^-\s+(?:\*\*[^*]+\*\*[：:])?', '')) as c from t),
+k as (select doc_id, line_no, trim(regexp_replace(trim(c), '（[^）]+ / \d{2}:\d{2}[^）]*）$', '')) as claim from q),
+w as (select doc_id, claim, min(line_no) as line_no from k where list_aggregate(list_transform(['发布', '推出', '涨价', '降价', '封禁', '封锁', '退出', '裁员', '额度', '风控', '警告', '验证', '第一', 'LiveBench', '版本', 'Pro', 'Plus', 'Claude', 'Grok', 'GPT', 'Codex', 'Gemini', '美元', '元', '免税', 'VPN', '政策', '红头文件'], lambda w: contains(claim, w)), 'bool_or') or regexp_matches(claim, '\d+(?:\.\d+)+') group by 1, 2),
+n as (select *, row_number() over (partition by doc_id order by line_no) as pos from w) select doc_id, cast(pos as int) as pos, claim from n where pos <= 12""")
 def claims_of_digests(spark: SparkSession, d: str) -> DataFrame:
     """Bullets of digests that claim something."""
     return records.claims(table(spark, d, "documents").where("kind = 'digest' and text is not null"), "doc_id", "text")

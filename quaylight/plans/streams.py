@@ -46,7 +46,10 @@ def stream_forwarded_keys(spark: SparkSession, d: str) -> DataFrame:
     return sent.where("fingerprint is not null")
 
 
-@query("stream_throttled_events")
+@query("stream_throttled_events", """
+with recursive e as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events),
+a as (select event_id, user_id, ts, n from e where n = 1 union all
+ select event_id, user_id, ts, n from (select e.*, row_number() over (partition by e.user_id order by e.n) as r from a join e on e.user_id = a.user_id and e.ts >= a.ts + interval 6 hours) where r = 1) select event_id, user_id from a""")
 def stream_throttled_events(spark: SparkSession, d: str) -> DataFrame:
     """Events let through when a user may send one in six hours."""
     e = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))

@@ -85,3 +85,12 @@ def test_operator_with_nulls_repeats_and_clashing_names(spark):
 def test_micros_drop_finer_digits():
     assert one("2024-01-01T00:00:00.1234569Z") == us(datetime(2024, 1, 1, 0, 0, 0, 123456, tzinfo=timezone.utc))
     assert np.int64(one("2024-01-01T00:00:00.5Z")) % 10**6 == 500000
+
+
+def test_texts_are_read_whole(spark):
+    df = spark.createDataFrame([(" " * 50_000 + "2024-01-02 03:04:05" + "\u200b" * 2000,), ("2024-01-02 03:04:05 " + "x" * 90_000,)], "t string").withColumn("s", F.lit("a"))
+    clock = spark.createDataFrame([("a", "UTC", "ymd")], "source string, zone string, date_order string")
+    assert [r.utc_us for r in normalize_times(df, "t", "s", clock).collect()] == [1704164645000000, None]
+    many = spark.range(10_001).select(F.col("id").cast("string").alias("source"), F.concat(F.lit("Z/"), "id").alias("zone"), F.lit("ymd").alias("date_order"))
+    with pytest.raises(ValueError):
+        normalize_times(df, "t", "s", many)
