@@ -1,7 +1,8 @@
 """A stream of landed message files read by offset, as a Python data source.
 
-The offset is the last message number handed on, so a restart from the
-checkpoint goes on after it; a batch ends at a number, never inside one.
+Files land whole, in the order of their names, in a folder that driver and executors share.  The offset is the
+name of the last file handed on, so a trigger only lists names; each file is read by one task, once, and a
+restart from the checkpoint goes on after it.
 """
 
 from __future__ import annotations
@@ -16,32 +17,28 @@ SCHEMA = "msg_id bigint, chat_id string, sent_at string, text string"
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, lo: int, hi: int):
-        self.path, self.lo, self.hi = path, lo, hi
+    def __init__(self, path: str):
+        self.path = path
 
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, path: str):
         self.path = path
 
-    def _files(self) -> list[str]:
-        return sorted(f"{self.path}/{f}" for f in os.listdir(self.path) if f.endswith(".jsonl"))
+    def _names(self) -> list[str]:
+        return sorted(f for f in os.listdir(self.path) if f.endswith(".jsonl"))
 
     def initialOffset(self) -> dict:
-        return {"msg_id": 0}
+        return {"file": ""}
 
     def latestOffset(self) -> dict:
-        top = 0
-        for f in self._files():
-            for row in _rows(f):
-                top = max(top, row[0])
-        return {"msg_id": top}
+        return {"file": max(self._names(), default="")}
 
     def partitions(self, start: dict, end: dict) -> list[_Part]:
-        return [_Part(f, start["msg_id"], end["msg_id"]) for f in self._files()]
+        return [_Part(f"{self.path}/{f}") for f in self._names() if start["file"] < f <= end["file"]]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        return (r for r in _rows(part.path) if part.lo < r[0] <= part.hi)
+        return _rows(part.path)
 
     def commit(self, end: dict) -> None:
         """Files stay; what was handed on is known by the checkpoint alone."""

@@ -35,6 +35,19 @@ def test_replay_and_crash(spark, tmp_path):
     assert sent(spark, tmp_path) == want + [(7, "c")]
 
 
+def test_folded_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(forward, "MERGE", 2)
+    f = forward.forwarder(f"{tmp_path}/sent", f"{tmp_path}/seen", F.col("key"), ["seq"])
+    want = []
+    for n in range(7):
+        rows = [(10 * n, "a"), (10 * n + 1, f"k{n}"), (10 * n + 2, f"k{n - 1}")]
+        for _ in range(2):  # each is replayed
+            f(batch(spark, rows), n)
+        want += [(0, "a"), (1, "k0"), (2, "k-1")] if n == 0 else [(10 * n + 1, f"k{n}")]
+    assert sent(spark, tmp_path) == want
+    assert [x.name for x in sorted((tmp_path / "seen").iterdir()) if x.name.startswith("f=")] == ["f=2", "f=4"]
+
+
 def test_window_forgets(spark, tmp_path):
     f = forward.forwarder(f"{tmp_path}/sent", f"{tmp_path}/seen", F.col("key"), ["seq"], "ts", 1.0)
     mk = lambda rows: spark.createDataFrame([(s, k, T0 + dt.timedelta(hours=h)) for s, k, h in rows], "seq long, key string, ts timestamp")
