@@ -119,11 +119,21 @@ def p6_redacted_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records that repeat an accepted one: tbl, first_seq, seq."""
+    """Records that repeat an accepted one: tbl, first_seq, seq; the backlog is worked in passes of whole batches of up to 50,000 rows."""
+    return _linked(spark, d, 50_000)
+
+
+@_query
+def p2_one_by_one(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a pass for every batch, as they arrive."""
+    return _linked(spark, d, 0)
+
+
+def _linked(spark: SparkSession, d: str, rows: int) -> DataFrame:
     from quaylight.llm.linkage import History, catch_up, fingerprint_kind, video_kind
 
     names = ("content_seen", "bili_videos")
-    links = catch_up(History(spark, [fingerprint_kind(names[0]), video_kind(names[1])]), [table(spark, d, t) for t in names], "batch_no")
+    links = catch_up(History(spark, [fingerprint_kind(names[0]), video_kind(names[1])]), [table(spark, d, t) for t in names], "batch_no", rows)
     return links.where("first_seq is not null").select(F.col("kind").alias("tbl"), "first_seq", "seq")
 
 
