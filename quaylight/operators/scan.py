@@ -63,15 +63,38 @@ def above_marks(df: DataFrame, marks: DataFrame, chat: str, number: str) -> Data
     return df.join(m, df[chat] == F.col("__c"), "left").where(F.col("__m").isNull() | (F.col(number) > F.col("__m"))).drop("__c", "__m")
 
 
+#: Values of the order that make a segment of a source.
+SEGMENT = 4096
+
+
+def segmented(df: DataFrame, source: str, order: str, radius: int, size: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Rows of each source cut into segments of the numeric ``order``, each with the ``radius`` rows before and after it, and the columns to group by.
+
+    A window over source and segment sees of a row's ``radius`` neighbours what one over the source would, however far the
+    segments lie apart; rows of ``__halo`` only stand by.  A source of any size is spread over its segments: what a segment lends to others
+    comes from one row a segment.
+    """
+    rows = df.withColumn("__seg", F.floor(F.col(order) / (size or SEGMENT)))
+    line = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.struct(*df.columns).alias("r"))))
+    ends = rows.groupBy(source, "__seg").agg(line.alias("l")).select(source, "__seg", F.slice("l", 1, radius).alias("first"), F.slice(F.reverse("l"), 1, radius).alias("last"))
+    w = Window.partitionBy(source).orderBy("__seg")
+    before = F.slice(F.flatten(F.reverse(F.collect_list("last").over(w.rowsBetween(-radius, -1)))), 1, radius)
+    after = F.slice(F.flatten(F.collect_list("first").over(w.rowsBetween(1, radius))), 1, radius)
+    lent = ends.select("__seg", before.alias("b"), after.alias("a")).select("__seg", F.explode(F.concat("b", "a")).alias("e")).select("e.r.*", "__seg", F.lit(True).alias("__halo"))
+    return rows.withColumn("__halo", F.lit(False)).unionByName(lent), [source, "__seg"]
+
+
 def neighbours_text(df: DataFrame, source: str, order: str, sender: str, text: str, radius: int = 3) -> DataFrame:
     """Each row with ``context``: the non-blank messages ``radius`` before to after it in its source."""
-    w = Window.partitionBy(source).orderBy(order).rowsBetween(-radius, radius)
+    rows, by = segmented(df, source, order, radius)
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-radius, radius)
     line = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", F.concat(F.coalesce(F.col(sender), F.lit("unknown")), F.lit(": "), F.trim(F.col(text))))
-    return df.withColumn("context", F.array_join(F.collect_list(line).over(w), "\n"))
+    return rows.withColumn("context", F.array_join(F.collect_list(line).over(w), "\n")).where("not __halo").select(*df.columns, "context")
 
 
 def around_flagged(df: DataFrame, flagged: Column, candidate: Column, source: str, order: str) -> DataFrame:
     """Flagged rows, and candidates right before or after a flagged one in their source."""
-    w = Window.partitionBy(source).orderBy(order)
-    d = df.withColumn("__f", flagged).withColumn("__b", F.lag("__f").over(w)).withColumn("__a", F.lead("__f").over(w))
-    return d.where(F.col("__f") | (candidate & F.coalesce(F.col("__b") | F.col("__a"), F.col("__b"), F.col("__a"), F.lit(False)))).drop("__f", "__b", "__a")
+    rows, by = segmented(df, source, order, 1)
+    w = Window.partitionBy(*by).orderBy(order)
+    d = rows.withColumn("__f", flagged).withColumn("__b", F.lag("__f").over(w)).withColumn("__a", F.lead("__f").over(w))
+    return d.where("not __halo").where(F.col("__f") | (candidate & F.coalesce(F.col("__b") | F.col("__a"), F.col("__b"), F.col("__a"), F.lit(False)))).select(*df.columns)

@@ -219,3 +219,21 @@ def test_exact_top_k(spark, monkeypatch):
     s = u @ u.T
     for q in range(0, 200, 20):
         assert got[q] == sorted((i for i in range(200) if i != q), key=lambda i: (-round(s[q, i], 12), i))[:4]
+
+
+def test_segments_see_what_a_whole_source_would(spark):
+    import random as rnd
+
+    from pyspark.sql import Window
+
+    r = rnd.Random(8)
+    rows = [(r.choice(["a", "a", "b", None]), n, f"s{n % 3}", r.choice(["x", "", None, f"m{n}"]), r.random() < 0.3) for n in r.sample(range(100_000), 300)]
+    df = spark.createDataFrame(rows, "source string, n long, sender string, text string, hit boolean")
+    whole = Window.partitionBy("source").orderBy("n")
+    line = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.concat("sender", F.lit(": "), F.trim("text")))
+    want = {(x.source, x.n): x.c for x in df.withColumn("c", F.array_join(F.collect_list(line).over(whole.rowsBetween(-3, 3)), "\n")).collect()}
+    got = scan.neighbours_text(df, "source", "n", "sender", "text").collect()
+    assert len(got) == 300 and {(x.source, x.n): x.context for x in got} == want
+    beside = df.withColumn("b", F.lag("hit").over(whole)).withColumn("a", F.lead("hit").over(whole)).where("hit or coalesce(a, false) or coalesce(b, false)")
+    assert {x.n for x in scan.around_flagged(df, F.col("hit"), F.lit(True), "source", "n").collect()} == {x.n for x in beside.collect()}
+    assert scan.neighbours_text(df.where("false"), "source", "n", "sender", "text").count() == 0
