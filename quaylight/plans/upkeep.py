@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.functions import coerce, jsontext, markup
+from quaylight.functions import cards, coerce, jsontext, markup
 from quaylight.operators import records, scan, state
 from quaylight.plans.registry import query
 from quaylight.sources import device
@@ -172,3 +172,48 @@ def summaries_parsed(spark: SparkSession, d: str) -> DataFrame:
     answer = F.concat(F.lit("before\n"), fence("markdown concise", F.col("text")), fence("json opportunities", broken), F.when(F.col("doc_id") % 2 == 0, fence("json", F.lit('{"checked_claims": [],}'))).otherwise(""))
     s = t.select("doc_id", jsontext.summary_parts_col(answer).alias("s"))
     return s.select("doc_id", F.md5("s.concise").alias("concise"), "s.opportunities", "s.verification", "s.faults")
+
+
+@query("source_labels", r"""
+with n as (select distinct platform || ' /  ' || group_name || '/x ' as name from media_candidates union select distinct group_name from media_candidates)
+select name, case when regexp_matches(name, '^\s*(微信|Telegram) */') then regexp_replace(trim(regexp_replace(name, '^ *(微信|Telegram) */', '')), ' */ *', ' / ', 'g') else trim(name) end as label from n where name is not null""")
+def source_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Names of sources as they are shown, with and without their platform."""
+    m = table(spark, d, "media_candidates")
+    names = m.select(F.concat("platform", F.lit(" /  "), "group_name", F.lit("/x ")).alias("name")).union(m.select("group_name")).where("name is not null").distinct()
+    return names.select("name", cards.source_label(F.col("name")).alias("label"))
+
+
+@query("points_rendered", r"""
+with s as (select distinct id, points, date, start_hm, end_hm from growth_segments)
+select id, list_transform(points, lambda x: replace(regexp_replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\*\*(.+?)\*\*', '<b>\1</b>', 'gs'), '**', '')) as points, '<i>📍 ' || date || ' · ' || start_hm || '–' || end_hm || '</i>' as footer from s""")
+def points_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Points of segments in the markup of messages, and the line below them."""
+    s = table(spark, d, "growth_segments").select("id", "points", "date", "start_hm", "end_hm").distinct()
+    return s.select("id", F.transform("points", cards.rendered_point).alias("points"), cards.segment_footer(F.col("date"), F.col("start_hm"), F.col("end_hm")).alias("footer"))
+
+
+@query("rubric_versions", r"""
+with v as (select case when regexp_matches(regexp_extract(coalesce(text, ''), '^([^\n\r]*)', 1), '\bv\d+\b') then regexp_extract(regexp_extract(coalesce(text, ''), '^([^\n\r]*)', 1), '\b(v\d+)\b', 1) else 'v0' end as version from documents) select version, count(*) as n from v group by 1""")
+def rubric_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by the version that their first line names."""
+    return table(spark, d, "documents").groupBy(cards.rubric_version(F.col("text")).alias("version")).agg(F.count("*").alias("n"))
+
+
+@query("deltas_of_days", """
+with a as (select distinct device_id, report_day, steps, resting_hr, exercise_min from activity_days), b as (select device_id, avg(steps) as s from a group by 1),
+x as (select a.*, round_even(steps - s, 0) as d, cast(round_even(exercise_min, 0) as bigint) as m from a join b using (device_id))
+select device_id, report_day, case when d is null then '—' when d = 0 then '0步' else printf('%+d', cast(d as bigint)) || '步' end as steps_delta, case when m is null then '—' else (m // 60) || '小时' || lpad(cast(m % 60 as varchar), 2, '0') || '分' end as exercise from x""")
+def deltas_of_days(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of a day against the device's mean, and time of exercise, as they are written in a report."""
+    a = table(spark, d, "activity_days").select("device_id", "report_day", "steps", "resting_hr", "exercise_min").distinct()
+    b = a.groupBy("device_id").agg(F.avg("steps").alias("s"))
+    return a.join(b, "device_id").select("device_id", "report_day", cards.signed_delta(F.col("steps"), F.col("s"), "步").alias("steps_delta"), cards.hours_text(F.col("exercise_min") / 60).alias("exercise"))
+
+
+@query("images_left_out", """
+select seq from media_candidates where coalesce((media_type in ('meme', 'unknown') and score < 0.75), false) or coalesce(score < 0.55 and local_path is null, false) or regexp_matches(coalesce(context, ''), '表情包|无文字|纯图片')""")
+def images_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that say too little to be shown; a path stands for facts."""
+    facts = F.when(F.col("local_path").isNull(), F.array().cast("array<string>")).otherwise(F.array("local_path"))
+    return table(spark, d, "media_candidates").where(cards.is_empty_image(F.col("media_type"), F.col("score"), facts, F.col("context"))).select("seq")

@@ -153,3 +153,18 @@ def test_json(spark):
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([], []), (None, [1.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(V.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_cards(spark):
+    from quaylight.functions import cards as K
+
+    assert col(spark, ["微信/群 / 子", "Telegram / x", "QQ / x", " a ", "微信", None], "string", K.source_label) == ["群 / 子", "x", "QQ / x", "a", "微信", None]
+    assert col(spark, ["# rubric v12 x\nv3", "x\nv3", "", None, "av1 v2"], "string", K.rubric_version) == ["v12", "v0", "v0", "v0", "v2"]
+    assert col(spark, [10.5, 9.6, 12.0, 7.5, None], "double", lambda x: K.signed_delta(x, F.lit(10.0), "次")) == ["0次", "0次", "+2次", "-2次", "—"]
+    assert col(spark, [7.5, 0.0, 1.999, None], "double", K.hours_text) == ["7小时30分", "0小时00分", "2小时00分", "—"]
+    assert col(spark, ["**a<b** and **c", "x"], "string", K.rendered_point) == ["<b>a&lt;b</b> and c", "x"]
+    md = 'a ![x](tg://photo?id=ab "t") b ![y](tg://video?id=abc) c'
+    assert col(spark, [md], "string", lambda x: K.without_media(x, F.lit("ab"))) == ["a  b ![y](tg://video?id=abc) c"]
+    rows = [("meme", 0.7, ["f"], ""), ("meme", 0.8, ["f"], ""), ("chart", 0.5, [], ""), ("chart", 0.5, ["f"], None), ("chart", 0.9, ["f"], "一张表情包"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "kind string, worth double, facts array<string>, said string")
+    assert [r[0] for r in df.select(K.is_empty_image(F.col("kind"), F.col("worth"), F.col("facts"), F.col("said"))).collect()] == [True, False, True, False, True, False]
