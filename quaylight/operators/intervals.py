@@ -15,13 +15,21 @@ def overlap_ratio(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 def overlapping_pairs(df: DataFrame, key: str, group: str, start: str, end: str, bucket: int) -> DataFrame:
     """Pairs a < b of one group whose intervals meet, with ``ratio``.
 
-    An interval lies in each bucket that it touches; a pair is taken in the first bucket both share.
+    Buckets double in width from level to level, and an interval lies in the one or two buckets it touches at the level
+    of its own width, so a wide one is no more rows than a narrow one.  It is looked up at its own and all wider levels; a pair is taken at
+    the level of the wider, in the first bucket that both touch.
     """
     d = df.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s <= e")
-    d = d.withColumn("bk", F.explode(F.sequence(F.floor(F.col("s") / bucket), F.floor(F.col("e") / bucket))))
-    a, b = d.toDF("a", "g", "s1", "e1", "bk"), d.toDF("b", "g", "s2", "e2", "bk")
-    j = a.join(b, ["g", "bk"]).where("a < b and s1 <= e2 and s2 <= e1").where(F.col("bk") == F.floor(F.greatest("s1", "s2") / bucket))
-    return j.select("a", "b", F.col("g").alias(group), overlap_ratio(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("ratio"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("e") - F.col("s") + 1) / bucket))).cast("int")
+    d = d.withColumn("level", level)
+    width = F.lit(bucket) * F.pow(F.lit(2.0), F.col("at"))
+    touched = lambda x: x.withColumn("w", width).withColumn("bk", F.explode(F.sequence(F.floor(F.col("s") / F.col("w")), F.floor(F.col("e") / F.col("w")))))
+    own = touched(d.withColumn("at", F.col("level"))).select(F.col("k").alias("y"), "g", "at", "bk", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    top = d.groupBy("g").agg(F.max("level").alias("top"))
+    sought = touched(d.join(top, "g").withColumn("at", F.explode(F.sequence("level", "top")))).select(F.col("k").alias("x"), "g", "at", "bk", "w", "level", F.col("s").alias("s1"), F.col("e").alias("e1"))
+    j = sought.join(own, ["g", "at", "bk"]).where("s1 <= e2 and s2 <= e1 and (level < at and x <> y or x < y)").where(F.col("bk") == F.floor(F.greatest("s1", "s2") / F.col("w")))
+    ratio = overlap_ratio(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))
+    return j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("g").alias(group), ratio.alias("ratio"))
 
 
 def members(spans: DataFrame, points: DataFrame, span_key: str, group: str, start: str, end: str, point_group: str, point: str, bucket: int) -> DataFrame:

@@ -221,8 +221,7 @@ def recent_topics(spark: SparkSession, d: str) -> DataFrame:
 def retained_cards(spark: SparkSession, d: str) -> DataFrame:
     """Cards of the last 14 days before the latest."""
     t = table(spark, d, "delivered").select("msg_id", "ts").distinct()
-    top = t.agg(F.max("ts").cast("string")).first()[0]
-    return state.pruned(t, "ts", F.lit(top), 14).select("msg_id")
+    return state.pruned(t, "ts", table(spark, d, "delivered").agg(F.max("ts")).scalar(), 14).select("msg_id")
 
 
 @query("finalized_videos", """

@@ -237,3 +237,17 @@ def test_segments_see_what_a_whole_source_would(spark):
     beside = df.withColumn("b", F.lag("hit").over(whole)).withColumn("a", F.lead("hit").over(whole)).where("hit or coalesce(a, false) or coalesce(b, false)")
     assert {x.n for x in scan.around_flagged(df, F.col("hit"), F.lit(True), "source", "n").collect()} == {x.n for x in beside.collect()}
     assert scan.neighbours_text(df.where("false"), "source", "n", "sender", "text").count() == 0
+
+
+def test_overlaps_of_narrow_and_wide_intervals(spark):
+    import random as rnd
+
+    r = rnd.Random(6)
+    rows = []
+    for k in range(220):
+        s = r.randint(-3000, 9000)
+        rows.append((k, r.choice("ab"), s, s + r.choice([0, 1, r.randint(0, 60), r.randint(0, 900), 12_000])))
+    df = spark.createDataFrame([*rows, (900, "a", 5, 1), (901, None, 0, 10)], "k long, g string, s long, e long")
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]}
+    got = [(p.a, p.b) for p in intervals.overlapping_pairs(df, "k", "g", "s", "e", 16).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
