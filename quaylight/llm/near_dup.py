@@ -14,11 +14,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.functions.text import squeezed
 from quaylight.llm.minhash import verified_links
 from quaylight.session import materialize
 
@@ -34,11 +32,8 @@ class NearCopies:
 
 
 def squeezed_col(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else squeezed(x))
-
-    return run(text.cast("string"))
+    """``squeezed`` of a column: white space of all scripts and the four separators of ASCII are dropped, the rest is in lower case."""
+    return F.lower(F.regexp_replace(text.cast("string"), r"(?U)[\s\x1c-\x1f]+", ""))
 
 
 def near_copies(df: DataFrame, key: str, text: Column, threshold: float, min_chars: int = MIN_CHARS) -> NearCopies:

@@ -72,6 +72,14 @@ def test_empty_and_long(spark):
     assert found(spark, [(1, long), (2, long[:-200] + "tail"), (3, long[: len(long) // 2])]) == {(1, 2)}
 
 
+def test_squeezed_column(spark):
+    from quaylight.llm.near_dup import squeezed_col
+
+    texts = ["A b\tC\n", "\u3000甲 \xa0乙\x85\x1c\u2028ΑΣ ÀÉ\u200b", "", None, "ＡＢ 😀 X", " \x0b\x0c\r\u1680\u2009\u205f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(squeezed_col(F.col("t"))).collect()] == [None if t is None else squeezed(t) for t in texts]
+
+
 def test_bucket_pairs(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 2)
     df = spark.createDataFrame([(k, i) for k in range(3) for i in range(3 * k)] + [(9, 1), (9, 1)], "key long, id long")
