@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 #: Rows compared with them at a time.
 ROW_BLOCK = 1024
+#: Rows of a stretch of time from which it is cut into blocks.
+BAND_BLOCK = 16384
+#: Cells of a table of similarities, and pairs measured exactly, at a time.
+CELLS = 1 << 22
+#: More than single precision errs in the cosine of two unit vectors of some hundred numbers.
+SLACK = 2e-5
 
 
 def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, least: float = -2.0, blocks: int | None = None) -> DataFrame:
@@ -102,3 +108,99 @@ def _units(vs: list, width: int) -> np.ndarray:
     x[~np.isfinite(x).all(1)] = 0
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def recent_alike(rows: DataFrame, width_us: int, k: int, least: float, block: int | None = None) -> DataFrame:
+    """new_id, old_id, similarity: for each row the k most alike of the rows less than ``width_us`` before it (at equal times those of smaller id), of at least that cosine; ties to the smaller id.
+
+    ``rows`` are (id long, us long, v array of double): vectors of one length, finite and not all zero.  The rows of a stretch of ``width_us``
+    meet each other and those of the stretch before.  Stretches are counted first; a full one gets blocks by a hash, and every pair of blocks is a group of its
+    own.  A group is a product of matrices in single precision; what may reach the bound is measured again exactly, and only the best k of each row leave it.
+    """
+    block = block or BAND_BLOCK
+    rows = rows.where("us is not null").withColumn("bk", F.floor(F.col("us") / width_us))
+    n = rows.groupBy("bk").count()
+    met = lambda x: F.explode(F.array(x, x + 1)).alias("bk")
+    most = n.select(met(F.col("bk")), "count").groupBy("bk").agg(F.ceil(F.sum("count") / block).cast("int").alias("blocks"))
+    both = rows.select("id", "us", "v", F.xxhash64("id", "us", "v").alias("hash"), F.col("bk").alias("of"), met(F.col("bk"))).join(most.join(n.select("bk"), "bk", "left_semi"), "bk")
+    own, other = F.pmod("hash", F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    both = both.select("bk", "id", "us", "v", (F.col("of") == F.col("bk")).alias("now"), own.alias("own"), other.alias("other"))
+    both = both.select("bk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "now", "id", "us", "v")
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j, own, now = (t[c].to_numpy() for c in ("i", "j", "own", "now"))
+        v = t["v"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        ids, us = t["id"].combine_chunks(), t["us"].to_numpy()
+        found = [_alike(v, ids, us, new, old, width_us, k, least) for new, old in ((now & (own == i), own == j), (now & (own == j), own == i))[: 1 + int(i[0] != j[0])]]
+        new, old, sim = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"new_id": ids.take(pa.array(new)), "old_id": ids.take(pa.array(old)), "similarity": sim})
+
+    found = both.groupBy("bk", "i", "j").applyInArrow(run, "new_id long, old_id long, similarity double")
+    w = Window.partitionBy("new_id").orderBy(F.desc("similarity"), F.asc_nulls_last("old_id"))
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
+def _alike(v: np.ndarray, ids: pa.Array, us: np.ndarray, new: np.ndarray, old: np.ndarray, width_us: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``new`` and ``old`` (masks) that belong together, and their cosine."""
+    new, old = np.flatnonzero(new), np.flatnonzero(old)
+    new, old = new[np.argsort(us[new], kind="stable")], old[np.argsort(us[old], kind="stable")]
+    known, key = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(np.iinfo(np.int64).max).to_numpy()
+    unit = v / np.abs(v).max(axis=1, keepdims=True)
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    norm = _dots(v, v)
+    same = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_inverse=True)[1]
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    step = max(1, CELLS // max(1, len(old)))
+    for lo in range(0, len(new), step):
+        a = new[lo : lo + step]
+        near = old[np.searchsorted(us[old], us[a[0]] - width_us, "right") : np.searchsorted(us[old], us[a[-1]], "right")]
+        s = unit[a] @ unit[near].T
+        x, y = np.divmod(np.flatnonzero(s >= least - SLACK), max(1, len(near)))
+        s = s[x, y]
+        x, y = a[x], near[y]
+        gap = us[x] - us[y]
+        ok = (gap < width_us) & ((gap > 0) | (gap == 0) & known[x] & known[y] & (key[x] > key[y]))
+        x, y, s = x[ok], y[ok], s[ok]
+        # what is surely not among the best k isn't measured
+        at = np.lexsort((-s, x))
+        x, y, s = x[at], y[at], s[at]
+        first = np.searchsorted(x, x)
+        last = first + k - 1
+        has = (last < len(x)) & (x[np.minimum(last, len(x) - 1)] == x)
+        ok = ~has | (s >= s[np.where(has, last, 0)] - 2 * SLACK)
+        x, y = x[ok], y[ok]
+        # equal vectors are measured once
+        _, one, of = np.unique(same[x] * len(v) + same[y], return_index=True, return_inverse=True)
+        sim = np.concatenate([np.empty(0), *(_cosines(v, norm, x[one[q : q + 65536]], y[one[q : q + 65536]]) for q in range(0, len(one), 65536))])[of]
+        ok = sim >= least
+        x, y, sim = x[ok], y[ok], sim[ok]
+        at = np.lexsort((key[y], -sim, x))
+        x, y, sim = x[at], y[at], sim[at]
+        ok = np.arange(len(x)) - np.searchsorted(x, x) < k
+        out.append((x[ok], y[ok], sim[ok]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _cosines(v: np.ndarray, norm: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.nan_to_num(np.clip(_dots(v[x], v[y]) / np.sqrt(norm[x] * norm[y]), -1, 1), nan=-1.0)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products from first to last, each step rounded once as the SQL's engine does it (fused), so that near ties fall alike."""
+    s = np.zeros(len(a))
+    with np.errstate(all="ignore"):
+        for x, y in zip(a.T, b.T):
+            p = x * y
+            x1, y1 = _upper(x), _upper(y)
+            err = ((x1 * y1 - p) + x1 * (y - y1) + (x - x1) * y1) + (x - x1) * (y - y1)
+            t = p + s
+            z = t - p
+            whole = t + (((p - (t - z)) + (s - z)) + err)
+            s = np.where(np.isfinite(whole), whole, t)
+    return s
+
+
+def _upper(x: np.ndarray) -> np.ndarray:
+    c = x * 134217729.0
+    return c - (c - x)

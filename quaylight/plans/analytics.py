@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylight.functions.coerce import ratio, score_to_ten, trend_mark
-from quaylight.functions.vectors import cosine
 from quaylight.operators import clusters, dedup, intervals, series, sessions
 from quaylight.operators.scan import LOCAL_ZONE
 from quaylight.operators.timestamps import normalize_times
@@ -191,13 +190,13 @@ p as (select b.msg_id as new_id, a.msg_id as old_id, list_cosine_similarity(a.em
 r as (select *, row_number() over (partition by new_id order by sim desc, old_id) as rn from p where sim >= 0.8) select new_id, old_id, round(sim, 6) as sim, case when sim >= 0.93 then 'annotate' else 'ask' end as decision from r where rn <= 3""")
 def similar_recent_cards(spark: SparkSession, d: str) -> DataFrame:
     """For each card up to three alike of the 48 hours before it, some producers left out, with what follows from it."""
+    from quaylight.operators.topk import recent_alike
+
     c = table(spark, d, "delivered").select("msg_id", "ts", "producer", "embedding").where(~F.col("producer").isin("growth", "daily_summary") & (F.size("embedding") == 48))
     good = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    c = c.where(good).select("msg_id", "ts", "embedding").distinct()
-    p = intervals.band_pairs(c, "msg_id", "ts", 48 * 3600 * 1_000_000, ["embedding"])
-    p = p.select(F.col("b_k").alias("new_id"), F.col("a_k").alias("old_id"), cosine(F.col("a_embedding"), F.col("b_embedding")).alias("sim")).where("sim >= 0.8")
-    p = p.withColumn("rn", F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("sim"), "old_id"))).where("rn <= 3")
-    return p.select("new_id", "old_id", F.round("sim", 6).alias("sim"), F.when(F.col("sim") >= 0.93, "annotate").otherwise("ask").alias("decision"))
+    c = c.where(good).select(F.col("msg_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("embedding").cast("array<double>").alias("v"), "producer").distinct()
+    p = recent_alike(c.drop("producer"), 48 * 3600 * 1_000_000, 3, 0.8)
+    return p.select("new_id", "old_id", F.round("similarity", 6).alias("sim"), F.when(F.col("similarity") >= 0.93, "annotate").otherwise("ask").alias("decision"))
 
 
 @query("band_histogram", """
